@@ -102,7 +102,7 @@ def sample_features(docs: DataFrame, sample: DataFrame, indicators: Callable[[st
             for part in (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([indicators(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["label", "features"])
 
-    rows = docs.join(F.broadcast(sample), id_col).select("label", text_or_empty(text_col).alias("text"))
+    rows = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(sample), id_col).select("label", "text")
     return rows.mapInArrow(work, "label int, features binary")
 
 

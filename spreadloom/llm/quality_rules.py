@@ -115,23 +115,23 @@ def base_failed(c: Column) -> Column:
 
 
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows with a struct column ``quality``: counts, base_failed and kept."""
+    """The rows with a struct column ``_quality``: counts, base_failed and kept."""
 
     def judged(c: Column) -> Column:
         failed = base_failed(c)
         return c.withField("base_failed", failed).withField("kept", ~failed & verdict(c, rules))
 
-    return docs.withColumn("quality", let(counts(text_or_empty(text_col)), judged))
+    return docs.withColumn("_quality", let(counts(text_or_empty(text_col)), judged))
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return measured(docs.select(id_col, text_col), rules, text_col).select(id_col, *[F.col("quality")[n].alias(n) for n in names])
+    return measured(docs.select(id_col, text_col), rules, text_col).select(id_col, *[F.col("_quality")[n].alias(n) for n in names])
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows whose text passes the base and every rule; columns as they were."""
-    return measured(docs, rules, text_col).where("quality.kept").drop("quality")
+    return measured(docs, rules, text_col).where("_quality.kept").drop("_quality")
 
 
 def duckdb_sql(rules: tuple[Rule, ...] = RULES) -> str:
