@@ -1,13 +1,15 @@
-"""The registered queries over the given tables, read as market data, and the same results as DuckDB SQL."""
+"""All registered queries over the given tables, and the same results as DuckDB SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = "j01"
+from spreadloom.plans import registry, window_queries  # noqa: F401  registration happens on import
+
+FLAGSHIP = "j02_pair_ranking"
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)
