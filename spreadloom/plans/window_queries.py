@@ -12,7 +12,7 @@ from spreadloom.sources import panels
 
 def rounded(df: DataFrame, *keys: str, **values: str) -> DataFrame:
     """The keys as they are and the values to six places, named as asked."""
-    return df.select(*keys, *[F.round(c, 6).alias(n) for n, c in values.items()])
+    return df.select(*keys, *[(F.round(c, 6) + 0.0).alias(n) for n, c in values.items()])  # no negative zeros
 
 
 R6 = lambda **v: ", ".join(f"round({e}, 6) AS {n}" for n, e in v.items())
@@ -61,9 +61,9 @@ def e05_fill(spark, d):
     return rounded(w.filled(b, "x"), "symbol", "dt", ffill="ffill", bfill="bfill")
 
 
-@register(f"{RET} SELECT symbol, dt, round(diff, 3) AS diff, {R6(ret='ret', log_ret='log_ret')} FROM r")
+@register(f"{RET} SELECT symbol, dt, round(diff, 8) AS diff, {R6(ret='ret', log_ret='log_ret')} FROM r")
 def e06_returns(spark, d):
-    return w.returns(panels.bars(spark, d)).select("symbol", "dt", F.round("diff", 3).alias("diff"), F.round("ret", 6).alias("ret"), F.round("log_ret", 6).alias("log_ret"))
+    return w.returns(panels.bars(spark, d)).select("symbol", "dt", F.round("diff", 8).alias("diff"), F.round("ret", 6).alias("ret"), F.round("log_ret", 6).alias("log_ret"))
 
 
 @register(f"{RET}, g AS (SELECT *, greatest(diff, 0) AS up, greatest(-diff, 0) AS down FROM r) SELECT symbol, dt, CASE WHEN count(diff) OVER v = 14 THEN round(100 - 100 / (1 + avg(up) OVER v / nullif(avg(down) OVER v, 0)), 6) END AS rsi FROM (SELECT symbol, dt, diff, CASE WHEN diff IS NULL THEN NULL ELSE up END AS up, CASE WHEN diff IS NULL THEN NULL ELSE down END AS down FROM g) WINDOW v AS {W.format(13)}")
@@ -190,7 +190,7 @@ def e28_regime_tags(spark, d):
 
 @register(f"""{RET}, wz AS (SELECT r.symbol, r.dt, ret, CASE WHEN z IS NULL THEN 0.0 ELSE -least(greatest(z, -1), 1) END AS wgt FROM r JOIN (SELECT symbol, dt, CASE WHEN count(close) OVER v = 20 THEN (close - avg(close) OVER v) / stddev_pop(close) OVER v END AS z FROM bars WINDOW v AS {W.format(19)}) USING (symbol, dt)),
 n AS (SELECT *, coalesce(lag(wgt) OVER (PARTITION BY symbol ORDER BY dt), 0) AS b FROM wz)
-SELECT symbol, dt, round(abs(wgt - b), 6) AS turnover, round(b * coalesce(ret, 0) - abs(wgt - b) * 5 / 1e4, 6) AS net FROM n""")
+SELECT symbol, dt, round(abs(wgt - b), 6) AS turnover, round(b * coalesce(ret, 0) - abs(wgt - b) * 5 / 1e4, 6) + 0.0 AS net FROM n""")
 def e29_net_returns(spark, d):
     from spreadloom.functions.columns import clip
 
