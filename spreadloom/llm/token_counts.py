@@ -33,7 +33,7 @@ CHUNK = 512
 #: Characters handled at once in a task; a longer text is handled alone.
 BLOCK = 2_000_000
 #: Compiled states of a worker; beyond it compilation starts anew, which changes no result.
-STATES = 80_000
+STATES = 200_000
 
 # Character classes and states of the pre-token transducer.
 LETTER, SHORT, BEFORE_E, BEFORE_L, E, NUMBER, SPACE, WHITE, QUOTE, OTHER, L, PAD = range(12)
@@ -165,7 +165,7 @@ def pretoken_starts(texts: list[str]) -> list[list[int]]:
 class Counter:
     """The transducer from the bytes of a pre-token to the number of its tokens."""
 
-    def __init__(self, path: str, limit: int = STATES, memo: int = 200_000):
+    def __init__(self, path: str, limit: int = STATES, memo: int = 400_000):
         self.coder, self.limit = bpe.Encoder(path), limit
         self.words = pretokens.Memo(self.count_word, memo)
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -184,7 +184,7 @@ class Counter:
         if left < 0:
             return True
         if (found := self.pairs.get((left, right))) is None:
-            if len(self.pairs) >= 4 * self.limit:
+            if len(self.pairs) >= 2 * self.limit:
                 self.pairs.clear()
             text = self.coder.bpe.token_bytes
             found = self.pairs[left, right] = self.coder.merge(text[left] + text[right]) == [left, right]
