@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spreadloom.plans import registry, window_queries  # noqa: F401  registration happens on import
+from spreadloom.plans import pair_queries, registry, window_queries  # noqa: F401  registration happens on import
 
 FLAGSHIP = "j02_pair_ranking"
 
