@@ -230,7 +230,7 @@ def evolve(population: list[dict], counts: dict[int, int], capacity: int, seed:
     while len(scored) < POPULATION:
         enter(packed(shuffled(counts, rng, 0 if not scored and seed % ISLANDS == 0 else 0.1 * rng.random()), capacity))
     for _ in range(generations):
-        scored.sort()
+        scored.sort(key=lambda x: x[:3])
         if scored[0][0] <= least:
             break
         parents = scored[: max(2, POPULATION // 2)]
@@ -239,7 +239,7 @@ def evolve(population: list[dict], counts: dict[int, int], capacity: int, seed:
             a, b = rng.sample(parents, 2)
             child = crossover(a[3], b[3], counts, capacity, rng)
             enter(mutated(child.bins, capacity, rng) if rng.random() < 0.5 else child)
-    scored.sort()
+    scored.sort(key=lambda x: x[:3])
     return [x[3] for x in scored[:POPULATION]]
 
 

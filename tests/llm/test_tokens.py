@@ -101,6 +101,13 @@ def test_packing_reaches_the_least_number_of_bins(spark):
     assert used == counts
 
 
+def test_equal_packings_in_a_population():
+    counts = {700: 3, 3000: 2, 50: 1}
+    for seed in range(4):
+        for bins in packing.evolve([packing.packed(sorted(counts.items(), reverse=True), 4096).bins] * 8, counts, 4096, seed, 3):
+            assert sum(n * sum(p) for p, n in bins.items()) == sum(s * n for s, n in counts.items())
+
+
 def test_crossover_keeps_every_piece():
     rng = random.Random(2)
     counts = {rng.randint(1, 50): rng.randint(1, 9) for _ in range(30)}
