@@ -7,10 +7,11 @@ Those ways are the index keys, so a join on them finds every pair within that di
 from the similarity asked for, so that a pair just at it lies farther with a probability of at most ``MISS``.
 
 Equal shingle sets are one class and one node. In each bucket of the index all are first compared with the smallest
-node; found links join components. Then members of different components are compared within the buckets, in blocks,
-the nearest signatures first and in rounds of more and more partners, until no pair within the distance is left that
-isn't either in one component or compared. So a group of thousands of near copies takes about one comparison each, and
-no link between components is missed. Every link is confirmed on full shingle sets. Rounds are written tables.
+node; found links join components. Then, once, members of different components are compared within their buckets, in
+blocks: by signature, by a longer sketch of one-bit minima, and what is left on full sets, in the task that has both.
+Out come only links that join components within the task. So a group of thousands of near copies gives about one row
+each, nothing is emitted for pairs that aren't links, and no link between components is missed. Every link is
+confirmed on full shingle sets. The steps are written tables.
 
 Defined results: texts without words, or null, have an empty set and are linked with nothing; rows that share an id
 count as one document; a null id takes no part in links, its component is null and it is kept; other columns are not
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE, dropped, partitions, prepare, stored, text_or_empty
@@ -34,8 +35,8 @@ MISS = 1e-5
 SYMBOLS = 4  # a chunk
 #: Rows of a bucket that are compared with as many others in one step.
 BLOCK = 1024
-#: Partners of a member in the first round of comparisons inside buckets, and their growth from round to round.
-PARTNERS, GROWTH = 4, 8
+#: Bits of the longer sketch, and deviations from the mean distance of pairs just similar enough that it allows.
+SKETCH_BITS, DEVIATIONS = 512, 5.2
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,6 +75,22 @@ def signature(hashes: np.ndarray, chunks: int) -> np.ndarray:
     return (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit of each of SKETCH_BITS further minima of a set that isn't empty, packed."""
+    k = np.arange(1001, 1001 + SKETCH_BITS, dtype=np.uint64)
+    times, plus = mixed(k * ODD) | np.uint64(1), mixed(k + ODD)
+    least = np.full(SKETCH_BITS, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[None, at : at + 1024] * times[:, None] + plus[:, None]).min(1))
+    return np.packbits((mixed(least) & np.uint64(1)).astype(bool)).view(np.uint64)
+
+
+def sketch_reach(percent: int) -> int:
+    """Most differing bits of sketches of a pair that is just similar enough."""
+    p = (1 - percent / 100) / 2
+    return int(SKETCH_BITS * p + DEVIATIONS * np.sqrt(SKETCH_BITS * p * (1 - p)))
+
+
 def sketches(docs: DataFrame, width: int, chunks: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, set_id, signature) of every row; the last two null for an empty set."""
 
@@ -140,47 +157,93 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.concat_tables(held)
 
 
-def pairs_inside(members: DataFrame, partners: int, chunks: int, percent: int) -> DataFrame:
-    """(a, b, more) between members (key, node, label, n, signature) of a bucket with different labels, within the
-    distance: for each member those with its nearest ``partners``; more: it has others.
-
-    A large bucket is dealt in blocks by label; a task compares two blocks, and two blocks of one label not at all.
+def dealt_blocks(members: DataFrame) -> DataFrame:
+    """Rows (key, i, j, block, node, label) of every two blocks of a bucket that have to be compared: a bucket is cut in
+    blocks by label, and two blocks of one and the same label are left out.
     """
-    place = F.row_number().over(_by_label()) - 1
+    place = F.row_number().over(Window.partitionBy("key").orderBy("label", "node")) - 1
     placed = members.withColumn("block", (place / BLOCK).cast("int"))
     bounds = placed.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     left, right = bounds.select("key", F.col("block").alias("i"), "low", "high"), bounds.select("key", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
-    steps = left.join(right, "key").where((F.col("i") <= F.col("j")) & ~((F.col("low") == F.col("high_j")) & (F.col("high") == F.col("low_j")))).select("key", "i", "j")
-    rows = placed.join(steps.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["key", "block"])
+    steps = left.join(right, "key").where((F.col("i") <= F.col("j")) & ~((F.col("low") == F.col("high_j")) & (F.col("high") == F.col("low_j"))))
+    return placed.join(steps.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["key", "block"])
+
+
+def as_words(group: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(column).to_pylist()), kind).reshape(group.num_rows, -1)
+
+
+def possible(group: pa.Table, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows of two blocks with different labels and near sketches."""
+    label, bits = group.column("label").to_numpy(), as_words(group, "sketch", np.uint64)
+    block, i, j = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    apart = np.zeros((len(one), len(two)), np.uint16)
+    for k in range(bits.shape[1]):
+        apart += np.bitwise_count(bits[one, k][:, None] ^ bits[two, k][None, :])
+    a, b = np.nonzero((apart <= reach) & (label[one][:, None] != label[two][None, :]))
+    return one[a], two[b]
+
+
+def worth_comparing(rows: DataFrame, chunks: int, percent: int) -> DataFrame:
+    """Of dealt rows with n, signature and sketch: those with a partner that sizes, signatures and sketches leave possible."""
+    reach = sketch_reach(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["key", "i", "j"]):
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            block, node, label, n = (group.column(c).to_numpy() for c in ("block", "node", "label", "n"))
-            sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(node), -1)
-            one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            found = []
-            far = np.zeros((len(one), len(two)), np.uint8)
-            for s in range(sig.shape[1]):
-                far += sig[one, s][:, None] != sig[two, s][None, :]
-            fits = (far <= 2 * chunks - 1) & (label[one][:, None] != label[two][None, :]) & (np.minimum(n[one][:, None], n[two][None, :]) * 100 >= np.maximum(n[one][:, None], n[two][None, :]) * percent)
-            for rows_, cols_, f, d in ((one, two, fits, far), *(((two, one, fits.T, far.T),) if i != j else ())):
-                for r in np.flatnonzero(f.any(1)):
-                    at = np.flatnonzero(f[r])
-                    near = at[np.argsort(d[r, at], kind="stable")]
-                    found.extend((node[rows_[r]], node[cols_[c]], len(near) > partners) for c in near[:partners])
-            if found:
-                a, b, more = map(np.array, zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], ["a", "b", "more"])
+            n, sig = group.column("n").to_numpy(), as_words(group, "signature", np.uint16)
+            a, b = possible(group, reach)
+            if len(a):
+                sized = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+                a, b = a[sized], b[sized]
+                near = [(sig[a[k : k + 65536]] != sig[b[k : k + 65536]]).sum(1) <= 2 * chunks - 1 for k in range(0, len(a), 65536)]
+                near = np.concatenate(near) if near else np.zeros(0, bool)
+                keep = np.union1d(a[near], b[near])
+                if len(keep):
+                    yield from group.select(["key", "i", "j", "block", "node", "label", "sketch"]).take(pa.array(keep)).combine_chunks().to_batches()
+
+    dealt = rows.select("key", "i", "j", "block", "node", "label", "sketch", "n", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(work, "key long, i int, j int, block int, node long, label long, sketch binary")
 
-    rows = rows.select("key", "i", "j", "block", "node", "label", "n", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(work, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
+def links_inside(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between labels of dealt rows, on full sets; of each two blocks a forest over their labels."""
+    reach = sketch_reach(percent)
 
-def _by_label():
-    from pyspark.sql import Window
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ["key", "i", "j"]):
+            node, label = group.column("node").to_numpy(), group.column("label").to_numpy().tolist()
+            sets_ = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+            ids = np.split(np.unique(np.concatenate(sets_), return_inverse=True)[1], np.cumsum([len(x) for x in sets_])[:-1])
+            has = np.zeros(max(x.max() for x in ids) + 1, bool)
+            root = {x: x for x in label}
+
+            def find(x: int, root: dict = root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            a, b = possible(group, reach)
+            cut = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)] if len(a) else []
+            found = []
+            for lo, hi in zip(cut, cut[1:]):
+                x = a[lo]
+                has[ids[x]] = True
+                for y in b[lo:hi].tolist():
+                    small, large = sorted((len(ids[x]), len(ids[y])))
+                    if 100 * small >= percent * large and find(label[x]) != find(label[y]):
+                        both = int(has[ids[y]].sum())
+                        if 100 * both >= percent * (small + large - both):
+                            root[find(label[x])] = find(label[y])
+                            found.append((node[x], node[y]))
+                has[ids[x]] = False
+            if found:
+                x, y = map(np.array, zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    return Window.partitionBy("key").orderBy("label", "node")
+    full = rows.join(sets.select("node", "hashes"), "node").select("key", "i", "j", "block", "node", "label", "sketch", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return full.mapInArrow(work, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,15 +279,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, hashes) of the given nodes, from their texts."""
+    """(node, hashes, sketch) of the given nodes, from their texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
+                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
+                kept = [k for k, own in enumerate(sets) if len(own)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int32())), pa.array([sets[k].tobytes() for k in kept], pa.binary()), pa.array([sketch(sets[k]).tobytes() for k in kept], pa.binary())], ["node", "hashes", "sketch"])
 
     own = docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text")).join(nodes, "node", "left_semi")
-    return own.mapInArrow(work, "node long, hashes binary")
+    return own.mapInArrow(work, "node long, hashes binary, sketch binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,26 +312,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     of_a, of_b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"sig_{x}")) for x in "ab")
     stars = inside.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    full = sets.select("node", "hashes")
     tested = stored(within(stars.join(of_a, "a").join(of_b, "b"), chunks, percent), "tested")
-    links = stored(confirmed(tested, sets, percent), "links")
+    links = stored(confirmed(tested, full, percent), "links")
     labels = components(links)
-    partners = PARTNERS
-    crowded = inside.where("size > 2").select("key", "node")
-    while True:
-        members = crowded.join(nodes, "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "n", "signature")
-        open_keys = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        found = stored(pairs_inside(members.join(open_keys, "key", "left_semi"), partners, chunks, percent), "pairs")
-        fresh = stored(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
-        more = bool(found.where("more").limit(1).count())
-        if fresh.limit(1).count():
-            new = stored(confirmed(fresh, sets, percent), "links")
-            links = stored(links.union(new), "links")
-            labels = components(links)
-            tested = stored(tested.union(fresh), "tested")
-        if not more:
-            break
-        partners *= GROWTH
-    for gone in (inside, sets, tested):
+    members = inside.where("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    open_keys = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    dealt = dealt_blocks(members.join(open_keys, "key", "left_semi")).join(nodes, "node").join(sets.select("node", "sketch"), "node")
+    doubtful = stored(worth_comparing(dealt, chunks, percent), "doubtful")
+    more = stored(links_inside(doubtful, sets, percent), "links")
+    if more.limit(1).count():
+        labels = components(links.union(more))
+    for gone in (inside, sets, tested, doubtful):
         dropped(gone)
 
     # A class needs a row of its own here only if it has copies or links; hot classes are dealt out by salt.

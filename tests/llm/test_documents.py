@@ -94,7 +94,6 @@ def components(texts, width, percent):
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, corpus, nothing, width, percent, monkeypatch):
     monkeypatch.setattr(hamming_join, "BLOCK", 3)
-    monkeypatch.setattr(hamming_join, "PARTNERS", 1)
     base = " ".join(f"w{k}" for k in range(60)).split()
     near = [(100 + k, " ".join(base[:k] + [f"new{k}"] + base[k + 1 :])) for k in range(0, 60, 4)]  # linked in part, by way of the first
     chain = [(300 + k, " ".join(f"c{j}" for j in range(k, k + 60))) for k in range(0, 30, 3)]
