@@ -42,7 +42,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A packing of more patterns than this many times the capacity is not kept, so its table stays small.
 MOST_PATTERNS = 4
 
-ISLANDS, POPULATION, EPOCHS, GENERATIONS, ELITES = 6, 6, 3, 4, 2
+ISLANDS, POPULATION, EPOCHS, GENERATIONS, ELITES = 6, 6, 3, 6, 2
 
 
 class WordIds:
@@ -171,8 +171,14 @@ def packed(sizes: list[tuple[int, int]], capacity: int) -> Packing:
 
 
 def shuffled(counts: dict[int, int], rng: random.Random, noise: float) -> list[tuple[int, int]]:
-    """Lengths in nearly falling order."""
-    return sorted(counts.items(), key=lambda x: -x[0] * (1 + noise * rng.uniform(-1, 1)))
+    """Lengths in nearly falling order; with much noise also in lots, so that lengths mix in a bin."""
+    lots = []
+    for size, n in counts.items():
+        while n:
+            lot = rng.randint(1, n) if noise >= 0.3 else n
+            lots.append((size, lot))
+            n -= lot
+    return sorted(lots, key=lambda x: -x[0] * (1 + noise * rng.uniform(-1, 1)))
 
 
 def crossover(one: dict, other: dict, counts: dict[int, int], capacity: int, rng: random.Random) -> Packing:
@@ -191,23 +197,23 @@ def crossover(one: dict, other: dict, counts: dict[int, int], capacity: int, rng
             child.add(pattern, n)
             for size, k in need.items():
                 left[size] -= n * k
-    for size, n in shuffled({s: n for s, n in left.items() if n}, rng, 0.02):
+    for size, n in shuffled({s: n for s, n in left.items() if n}, rng, rng.choice((0.02, 0.5))):
         child.place(size, n)
     return child
 
 
 def mutated(bins: dict, capacity: int, rng: random.Random) -> Packing:
-    """Empties some of the least filled bins and best-fits their pieces, longest first."""
+    """Empties some of the least filled bins and best-fits their pieces, in an order that is nearly by length or not."""
     out, displaced = Packing(capacity), Counter()
-    order = sorted(bins.items(), key=lambda x: sum(x[0]))
+    order, first = sorted(bins.items(), key=lambda x: sum(x[0])), rng.randint(2, 5)
     for k, (pattern, n) in enumerate(order):
-        gone = n if k < 2 or rng.random() < 0.05 else 0
+        gone = n if k < first or rng.random() < 0.05 else 0
         if gone < n:
             out.add(pattern, n - gone)
         if gone:
             for size in pattern:
                 displaced[size] += gone
-    for size, n in shuffled(displaced, rng, 0.01):
+    for size, n in shuffled(displaced, rng, rng.choice((0.01, 0.3, 1.0))):
         out.place(size, n)
     return out
 
