@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -20,14 +21,21 @@ from .pretokens import Memo
 SAMPLE = 20_000
 #: Number of hashed features of each kind.
 BINS = 1 << 18
-MEMO = 200_000
+MEMO = 400_000
 #: Lengths of the stems of a word.
 STEMS = (3, 4, 5, 6, 7)
 REPEATED = 0xFFFF
+#: From the first letter of a word to its last.
+LETTERS = re.compile(r"[^\W\d_](?:.*[^\W\d_])?", re.DOTALL)
 
 
 def shape(word: str) -> str:
     """Runs of upper case, lower case and digits as X, x and 9; all else as it is, without repeats."""
+    if word.isalpha():
+        if word.islower():
+            return "x"
+        if word[1:].islower() and word[0].isupper():
+            return "Xx"
     out = []
     for c in word[:64]:
         kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
@@ -42,7 +50,10 @@ def hashed(text: str, bins: int = BINS) -> int:
 
 def codes(word: str) -> bytes:
     """Of a word: hashes of its letters in lower case and of its stems (-1: none), and of its shape."""
-    lower = word.lower().strip("".join({c for c in word.lower() if not c.isalpha()})) or ""
+    lower = word.lower()
+    if not lower.isalpha():
+        found = LETTERS.search(lower)
+        lower = found[0] if found else ""
     stems = [hashed(f"{lower[:k]}*") if len(lower) > k else -1 for k in STEMS]
     return np.array([hashed(lower) if lower else -1, *stems, hashed("\t" + shape(word), REPEATED)], np.int32).tobytes()
 
