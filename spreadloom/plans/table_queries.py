@@ -35,6 +35,7 @@ def b03_point_in_time(spark, d):
     return r6(t.sliced(panels.bars(spark, d), end="1998-06-30").groupBy("symbol").agg(F.count("*").alias("n"), F.avg("close").alias("mean")), "symbol", "n", six=["mean"])
 
 
+FOLD_TABLE = "SELECT * FROM (VALUES (1, DATE '1995-01-01', DATE '1998-12-31', DATE '1999-01-15', DATE '1999-12-31'), (2, DATE '1995-01-01', DATE '1999-12-31', DATE '2000-01-15', DATE '2000-12-31')) AS f(fold, train_start, train_end, test_start, test_end)"
 SEGS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
