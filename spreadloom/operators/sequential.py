@@ -258,6 +258,27 @@ def chi_square_tail(x: float, k: int) -> float:
     return min(1.0, total)
 
 
+def huber_z(df: DataFrame, value: str, c: float = 1.345, steps: int = 25, key: str = "symbol") -> DataFrame:
+    """Distance of the last value from Huber's location, in deviations by the median absolute deviation."""
+
+    def run(x: np.ndarray) -> dict:
+        if len(x) < 3:
+            return {"huber_z": None}
+        at = np.median(x)
+        scale = 1.4826 * np.median(np.abs(x - at))
+        if not scale:
+            return {"huber_z": None}
+        for _ in range(steps):
+            away = np.abs(x - at) / scale
+            weight = np.where(away <= c, 1.0, c / np.maximum(away, 1e-300))
+            at, before = (weight * x).sum() / weight.sum(), at
+            if abs(at - before) < 1e-9 * scale:
+                break
+        return {"huber_z": float((x[-1] - at) / scale)}
+
+    return per_series(df, key, value, "huber_z double", run)
+
+
 def spectrum(df: DataFrame, value: str, key: str = "symbol") -> DataFrame:
     """Length of the strongest cycle, its share of power, and spectral entropy, after taking out the trend."""
 

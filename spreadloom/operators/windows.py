@@ -246,6 +246,11 @@ def hurst_structure(df: DataFrame, x: str, lags: range, key: str = "symbol") ->
     return long.groupBy(key).agg(slope("ly", "lx").alias("hurst"))
 
 
+def threshold_quantiles(df: DataFrame, z: str, entry: float, exit_: float, key: str = "symbol") -> DataFrame:
+    """Entry and exit bounds of a series as quantiles of |z|."""
+    return df.where(F.col(z).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.percentile(F.abs(z), entry).alias("entry"), F.percentile(F.abs(z), exit_).alias("exit"))
+
+
 def ewma(df: DataFrame, x: str, span: int, key: str = "symbol") -> DataFrame:
     """y = a x + (1 - a) y(-1), a = 2 / (span + 1): a recursion in time, so one series is one task, all series in parallel."""
 

@@ -15,7 +15,7 @@ from spreadloom.plans.job_queries import spread_z
 from spreadloom.plans.pair_queries import pairs_of
 from spreadloom.plans.registry import register
 from spreadloom.plans.table_queries import r6
-from spreadloom.plans.window_queries import RET, segment_pairs
+from spreadloom.plans.window_queries import RET, ZSQL, bar_z, segment_pairs
 from spreadloom.sources import panels
 
 
@@ -44,6 +44,16 @@ def e27_trade_episodes(spark, d):
     return s.trade_episodes(spread_z(spark, d), 1.5, 0.5, 4.0, 12)
 
 
+@register(f"{ZSQL} SELECT symbol, count(*) AS n, round(quantile_cont(abs(z), 0.9), 6) AS entry, round(quantile_cont(abs(z), 0.3), 6) AS exit FROM zz WHERE z IS NOT NULL GROUP BY 1")
+def e33_threshold_quantiles(spark, d):
+    return r6(w.threshold_quantiles(bar_z(spark, d), "z", 0.9, 0.3), "symbol", "n", six=["entry", "exit"])
+
+
+@register()
+def e33_huber_z(spark, d):
+    return s.huber_z(panels.bars(spark, d), "close")
+
+
 @register()
 def i03_pair_tests(spark, d):
     """Unit root with lags, Engle-Granger, Johansen, KPSS and Hurst of every pair."""
