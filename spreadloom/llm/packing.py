@@ -234,7 +234,7 @@ def evolve(population: list[dict], counts: dict[int, int], capacity: int, seed:
             p.add(pattern, n)
         enter(p)
     while len(scored) < POPULATION:
-        enter(packed(shuffled(counts, rng, 0 if not scored and seed % ISLANDS == 0 else 0.1 * rng.random()), capacity))
+        enter(packed(shuffled(counts, rng, 0 if not scored else 0.1 * rng.random()), capacity))
     for _ in range(generations):
         scored.sort(key=lambda x: x[:3])
         if scored[0][0] <= least:
