@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,17 +85,66 @@ def deduped_pairs(df: DataFrame, x: str, y: str, order: Sequence[Column]) -> Dat
     return latest(df.withColumn("pair_key", pair_key(x, y)), ["pair_key"], order)
 
 
+def dominated(a: np.ndarray, by: np.ndarray, step: int = 512) -> np.ndarray:
+    """Which rows of a some row of ``by`` dominates: nowhere smaller and somewhere larger."""
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(a), step):
+        part = a[i : i + step, None, :]
+        for j in range(0, len(by), 4 * step):
+            other = by[None, j : j + 4 * step, :]
+            out[i : i + step] |= ((other >= part).all(2) & (other > part).any(2)).any(1)
+    return out
+
+
+def local_fronts(points: DataFrame) -> DataFrame:
+    """The front of each partition; a task holds its front and one batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        front, names = None, None
+        for batch in batches:
+            names, new = batch.columns, batch.to_numpy(float)
+            new = new[~dominated(new, new)]
+            if front is not None:
+                new = new[~dominated(new, front)]
+                front = front[~dominated(front, new)]
+            front = new if front is None else np.concatenate([front, new])
+        if front is not None:
+            yield pd.DataFrame(front, columns=names)
+
+    return points.mapInPandas(run, points.schema)
+
+
+def front_of(points: DataFrame, block: int = 8192) -> DataFrame:
+    """The front of distinct points, larger being better. Fronts of partitions, dealt anew, until one block holds what is
+    left or it hardly shrinks; then each block is compared with each other one."""
+    names, before, left = points.columns, None, local_fronts(points).persist()
+    for turn in range(1, 100):
+        n = left.count()
+        if before is not None:
+            before[0].unpersist()
+        k = max(1, math.ceil(n / block))
+        if k > 1 and before is not None and n > 0.8 * before[1]:
+            break
+        before = left, n
+        left = local_fronts(left.repartition(k, F.xxhash64(*names, F.lit(turn))) if k > 1 else left.coalesce(1))
+        if k == 1:
+            return left
+        left = left.persist()
+    own, every = F.pmod(F.xxhash64(*names), F.lit(k)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a, b = left.select(*names, own.alias("_i"), every.alias("_j")), left.select(*names, every.alias("_i"), own.alias("_j"))
+    lost = lambda a, b: a.loc[dominated(a[names].to_numpy(float), b[names].to_numpy(float)), names]
+    gone = a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(lost, points.schema)
+    return left.join(gone.distinct(), names, "left_anti")
+
+
 def pareto_front(df: DataFrame, up: Sequence[str], down: Sequence[str], key: str) -> DataFrame:
-    """Rows that no other row dominates, of a bounded table (a top-k): null is the worst value; ties are all kept."""
-    worst = {**{c: float("-inf") for c in up}, **{c: float("inf") for c in down}}
-    own = df.where(F.coalesce(*up, *down).isNotNull()).withColumns({f"_{c}": F.coalesce(F.col(c), F.lit(v)) for c, v in worst.items()})
-    other = own.select(*[F.col(f"_{c}").alias(f"o_{c}") for c in worst])
-    no_worse, better = F.lit(True), F.lit(False)
-    for c in up:
-        no_worse, better = no_worse & (F.col(f"o_{c}") >= F.col(f"_{c}")), better | (F.col(f"o_{c}") > F.col(f"_{c}"))
-    for c in down:
-        no_worse, better = no_worse & (F.col(f"o_{c}") <= F.col(f"_{c}")), better | (F.col(f"o_{c}") < F.col(f"_{c}"))
-    return own.join(F.broadcast(other), no_worse & better, "left_anti").select(*df.columns)
+    """Rows that no other row dominates, of a table of any size: null and NaN are the worst value; ties are all kept.
+    Values are compared as doubles."""
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    own = df.where(F.coalesce(*map(number, [*up, *down])).isNotNull())
+    own = own.withColumns({f"_{c}": F.coalesce((-1.0 if c in down else 1.0) * number(c), F.lit(float("-inf"))) + 0.0 for c in [*up, *down]})
+    names = [f"_{c}" for c in [*up, *down]]
+    return own.join(front_of(own.select(*names).distinct()), names, "left_semi").select(*df.columns)
 
 
 def common_dates(df: DataFrame, key: str = "symbol", at: str = "dt") -> DataFrame:

@@ -272,6 +272,11 @@ def f05_pareto_front(spark, d):
     return r6(t.pareto_front(top, ["score", "sharpe"], ["drawdown"], "trial_id"), "trial_id", six=["sharpe"])
 
 
+@register("SELECT trial_id, round(sharpe, 6) AS sharpe FROM trials k WHERE NOT EXISTS (SELECT 1 FROM trials o WHERE o.score >= k.score AND o.sharpe >= k.sharpe AND o.drawdown <= k.drawdown AND (o.score > k.score OR o.sharpe > k.sharpe OR o.drawdown < k.drawdown))")
+def f05_pareto_front_all(spark, d):
+    return r6(t.pareto_front(panels.trials(spark, d), ["score", "sharpe"], ["drawdown"], "trial_id"), "trial_id", six=["sharpe"])
+
+
 @register("SELECT array_to_string(list(symbol ORDER BY n, symbol)[1:10], ',') AS worst FROM (SELECT symbol, count(*) AS n FROM bars GROUP BY 1)")
 def f06_worst_list(spark, d):
     per = panels.bars(spark, d).groupBy("symbol").count()
