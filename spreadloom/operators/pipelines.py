@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions.columns import clip, full, ordered, ratio, safe, slope, so_far, trailing, zscore
@@ -65,16 +65,23 @@ def fair_values(pairs: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     return z.withColumn("ensemble_z", F.avg("z").over(Window.partitionBy("pair_id")))
 
 
-def candidates(series: DataFrame, value: str, low: float, most: int, alpha: float = 0.2, least: int = 30) -> DataFrame:
-    """Families by correlation and by distance, the best of each pair, cut to the strongest, screened by Engle-Granger:
-    the dear test runs only on the short list."""
+def candidates(series: DataFrame, value: str, low: float, most: int | None = None, alpha: float = 0.2, least: int = 30, groups: DataFrame | None = None) -> DataFrame:
+    """Families by correlation, by distance and within clusters (symbol, cluster), the best of each pair, all screened
+    by Engle-Granger; ``most`` of those that pass, by quality, if given."""
     every = p.all_pairs(series, value)
-    by_corr = p.pair_correlation(every, low, least=least).where("is_candidate").select("pair_id", F.lit("correlation").alias("family"), F.abs("corr").alias("quality"))
-    by_distance = p.price_distance(every).where("score >= 0.2").select("pair_id", F.lit("distance").alias("family"), F.col("score").alias("quality"))
-    best = top_per(by_corr.unionByName(by_distance), ["pair_id"], [F.col("quality").desc(), F.col("family")], 1).drop("place")
-    short = best.orderBy(F.col("quality").desc(), "pair_id").limit(most)
-    tested = s.pair_tests(every.join(short.select("pair_id"), "pair_id", "left_semi"), least=least).select("pair_id", "eg_p")
-    return short.join(tested, "pair_id").where(F.coalesce(F.col("eg_p") <= alpha, F.lit(False)))
+    corr = p.pair_correlation(every, low, least=least)
+    found = corr.where("is_candidate").select("pair_id", F.lit("correlation").alias("family"), F.abs("corr").alias("quality"))
+    found = found.unionByName(p.price_distance(every).where("score >= 0.2").select("pair_id", F.lit("distance").alias("family"), F.col("score").alias("quality")))
+    if groups is not None:
+        of = lambda leg: groups.select(F.col("symbol").alias(leg), "cluster")
+        inside = corr.where(F.abs("corr") >= 0.8 * low).join(of("sym_x"), "sym_x").join(of("sym_y"), ["sym_y", "cluster"])
+        found = found.unionByName(inside.select("pair_id", F.lit("cluster").alias("family"), F.abs("corr").alias("quality")))
+    # of equal quality: correlation before cluster, then distance
+    place = F.array_position(F.array(*map(F.lit, ("correlation", "cluster", "distance"))), F.col("family"))
+    best = top_per(found, ["pair_id"], [F.col("quality").desc(), place], 1).drop("place")
+    tested = s.pair_tests(every.join(best.select("pair_id"), "pair_id", "left_semi"), least=least).select("pair_id", "eg_p")
+    passed = best.join(tested, "pair_id").where(F.coalesce(F.col("eg_p") <= alpha, F.lit(False)))
+    return passed if most is None else passed.orderBy(F.col("quality").desc(), "pair_id").limit(most)
 
 
 def walk_forward(pairs: DataFrame, folds: DataFrame, entry: float, exit_: float) -> DataFrame:
@@ -95,7 +102,17 @@ def decisions(candidates_: DataFrame, verdicts: DataFrame, regimes: DataFrame) -
     score = 0.5 * clip("quality", 0.0, 1.0) + F.when(F.col("verdict") == "PASS", 0.3).when(F.col("verdict") == "WARN", 0.15).otherwise(0.0) + F.when(F.col("regime") == "MEAN_REVERTING", 0.2).otherwise(0.0)
     d = j.withColumn("score", score)
     out = d.withColumn("decision", F.when(F.col("regime").isin("BROKEN", "CRISIS"), "REJECTED").when(F.col("score") >= 0.75, "PORTFOLIO_READY").when(F.col("score") >= 0.5, "WATCHLIST").when(F.col("score") >= 0.25, "RESEARCH_ONLY").otherwise("REJECTED"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("score", 9).desc(), "pair_id")))  # of the short list
+    return ranked(out, F.round("score", 9), "pair_id")
+
+
+def ranked(df: DataFrame, score: Column, key: str, cells: int = 1000) -> DataFrame:
+    """``rank`` by a score of 0 to 1, falling, and the key: the rank within a cell of the score after the sizes of the cells above."""
+    cell = F.coalesce(F.floor(score * cells), F.lit(-1)).alias("_cell")
+    own = df.select("*", cell)
+    above = Window.partitionBy(F.lit(0)).orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = own.groupBy("_cell").count().select("_cell", F.coalesce(F.sum("count").over(above), F.lit(0)).alias("_above"))  # cells + 2 rows at most
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(score.desc(), key))
+    return own.withColumn("_in", inside).join(F.broadcast(sizes), "_cell").select(*df.columns, (F.col("_above") + F.col("_in")).cast("int").alias("rank"))
 
 
 def uncorrelated(df: DataFrame, columns: list[str], bound: float) -> list[str]:

@@ -58,14 +58,15 @@ def i29_fair_values(spark, d):
 
 @register()
 def j03_candidates(spark, d):
-    return pl.candidates(panels.bars(spark, d, "month"), "vwap", 0.05, 100)
+    bars = panels.bars(spark, d, "month")
+    return pl.candidates(bars, "vwap", 0.05, groups=sc.clusters(bars, 4))
 
 
 @register()
 def j04_discovery(spark, d):
     pairs = pairs_of(spark, d)
     verdicts = sc.validated(p.pair_metrics(pairs), s.pair_tests(pairs), p.hedge_stability(pairs, 8, 30), least_n=60, corr=0.1, low=0.1)
-    return pl.decisions(pl.candidates(panels.bars(spark, d, "month"), "vwap", 0.05, 100), verdicts, pl.regime_features(p.spread(pairs, p.static_hedge(pairs)), short=12, long=36))
+    return pl.decisions(j03_candidates(spark, d), verdicts, pl.regime_features(p.spread(pairs, p.static_hedge(pairs)), short=12, long=36))
 
 
 @register()
