@@ -104,30 +104,33 @@ def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, id
     return own.orderBy(F.xxhash64(id_col), id_col).limit(sample)
 
 
-def sample_features(docs: DataFrame, sample: DataFrame, indicators: Callable[[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(label, features) of the sampled documents."""
+def sample_features(docs: DataFrame, sample: DataFrame, indicators: Callable[[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: Callable[[str], int] | None = None) -> DataFrame:
+    """(label, features), and what ``bits`` gives of the text if it is given, of the sampled documents."""
     prepare(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([indicators(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["label", "features"])
+                texts = part.column(1).to_pylist()
+                columns = [part.column(0), pa.array([indicators(t).tobytes() for t in texts], pa.binary()), *([pa.array(map(bits, texts), pa.int64())] if bits else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "features", "bits"][: len(columns)])
 
     rows = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(sample), id_col).select("label", "text")
-    return rows.mapInArrow(work, "label int, features binary")
+    return rows.mapInArrow(work, "label int, features binary" + ", bits long" * bool(bits))
 
 
-def fitted(rows: DataFrame, fit: Callable[[np.ndarray, list[np.ndarray]], object]) -> object:
-    """Fits a model in one task on the bounded sample; None where it is empty."""
+def fitted(rows: DataFrame, fit: Callable[..., object]) -> object:
+    """Fits a model in one task on the bounded sample (labels, features, and bits if it has them); None where it is empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, features = [], []
+        labels, features, bits = [], [], []
         for batch in batches:
             labels += batch.column(0).to_pylist()
             features += batch.column(1).to_pylist()
+            bits += batch.column(2).to_pylist() if batch.num_columns > 2 else []
         if labels:
-            order = sorted(range(len(labels)), key=lambda k: (features[k], labels[k]))  # whatever order the rows came in
-            model = fit(np.array([labels[k] for k in order]), [np.frombuffer(features[k], np.int32) for k in order])
+            order = sorted(range(len(labels)), key=lambda k: (features[k], labels[k], *bits[k : k + 1]))  # whatever order the rows came in
+            model = fit(np.array([labels[k] for k in order]), [np.frombuffer(features[k], np.int32) for k in order], *([np.array([bits[k] for k in order])] if bits else []))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     found = rows.repartition(1).mapInArrow(work, "model binary").collect()

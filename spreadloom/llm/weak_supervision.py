@@ -7,8 +7,8 @@ correlations to others within the classes. A logistic model on hashed words and
 labels of the sample. Vote patterns are counted before anything is gathered; each step of the estimation is an
 aggregate.
 
-Defined results: a null or empty text has no votes and a score; without labels only the lexicon and patterns vote;
-repeated rows each keep a row; columns beside the id and the text are not read.
+Defined results: a null or empty text has no votes and a score; without labels only the lexicon and patterns vote,
+and a sample of documents, bounded as that of labels, is learned from; repeated rows each keep a row; columns beside the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -76,6 +76,12 @@ def mine(labels: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return np.sort(good[chosen]).astype(np.int32)
 
 
+def pattern_bits(text: str) -> int:
+    """Bits of the patterns that a text holds, at their places among the votes."""
+    lower = text.lower()
+    return sum(1 << k for k, (pattern, anchors) in enumerate(zip(PATTERNS, ANCHORS), len(LEXICON)) if any(a in lower for a in anchors) and re.search(pattern, lower))
+
+
 class Voters:
     """The lexicon's lines, the patterns and the mined features, each a bit of the votes; a last one if all are silent."""
 
@@ -89,20 +95,15 @@ class Voters:
             self.bits[feature] = self.bits.get(feature, 0) | 1 << k
         self.known = np.zeros(2 * fx.BINS, bool)
         self.known[[*self.bits]] = True
-        self.patterns = [re.compile(p) for p in PATTERNS]
 
     def __len__(self) -> int:
         return len(LEXICON) + len(PATTERNS) + len(self.mined) + 1
 
-    def votes(self, indicators: np.ndarray, text: str) -> int:
-        """Bits of the voters that vote toxic."""
-        out = 0
+    def votes(self, indicators: np.ndarray, patterns: int) -> int:
+        """Bits of the voters that vote toxic, from the features and the pattern bits of a text."""
+        out = patterns
         for feature in indicators[self.known[indicators]].tolist():
             out |= self.bits[feature]
-        lower = text.lower()
-        for k, (pattern, anchors) in enumerate(zip(self.patterns, ANCHORS), len(LEXICON)):
-            if any(a in lower for a in anchors) and pattern.search(lower):
-                out |= 1 << k
         return out or 1 << len(self) - 1
 
 
@@ -215,29 +216,42 @@ def trained(target: np.ndarray, rows: list[np.ndarray], seed: int = 11) -> tuple
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     spark = docs.sparkSession
     prepare(spark)
-    sample = stored(fx.sample_features(docs, fx.labelled_sample(labels, "toxic", FOLDS, HELD_OUT), fx.stem_indicators), "sample")
-    mined = fx.fitted(sample, mine)
+    sample = stored(fx.sample_features(docs, fx.labelled_sample(labels, "toxic", FOLDS, HELD_OUT), fx.stem_indicators, id_col, text_col, pattern_bits), "sample")
+    mined = fx.fitted(sample, lambda labels, rows, bits: mine(labels, rows))
     voters = Voters(np.zeros(0, np.int32) if mined is None else mined)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)):
-                votes = [voters.votes(fx.stem_indicators(t), t) for t in part.column(0).to_pylist()]
+                votes = [voters.votes(fx.stem_indicators(t), pattern_bits(t)) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(votes, pa.int64())], ["votes"])
 
     patterns = stored(docs.select(text_or_empty(text_col).alias("text")).mapInArrow(vote, "votes long").groupBy("votes").count(), "votes")
-    of_sample = lambda rows: unpacked(np.array([voters.votes(r, "") for r in rows]), len(voters))  # noqa: E731  the sample holds no text for pattern voters
-    first = fx.fitted(sample, lambda labels, rows: started(labels, of_sample(rows))) or guessed(len(voters))
-    model = estimated(patterns, first)
+    of_sample = lambda rows, bits: unpacked(np.array([voters.votes(r, b) for r, b in zip(rows, bits.tolist())]), len(voters))
+    first = fx.fitted(sample, lambda labels, rows, bits: started(labels, of_sample(rows, bits)))
+    model = estimated(patterns, first or guessed(len(voters)))
 
-    def fit(labels: np.ndarray, rows: list[np.ndarray]) -> Classifier:
-        w, bias = trained(model.posterior(of_sample(rows)), rows)
+    def fit(labels: np.ndarray, rows: list[np.ndarray], bits: np.ndarray) -> Classifier:
+        target = model.posterior(of_sample(rows, bits))
+        w, bias = trained(target, rows)
         out = Classifier(w, bias, 1.0, 0.0)
-        a, b = fx.calibration(np.array([out.margin(r) for r in rows]), labels, THRESHOLD)
+        truth = labels if first else (target >= THRESHOLD).astype(int)
+        a, b = fx.calibration(np.array([out.margin(r) for r in rows]), truth, THRESHOLD)
         return out._replace(a=a, b=b)
 
+    if not first:
+        sample = stored(unlabelled(docs, id_col, text_col), "sample")
     return fx.fitted(sample, fit) or Classifier(np.zeros(2 * fx.BINS, np.float32), 0.0, 1.0, -1.0)
 
 
+def unlabelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The sample where there are no labels: of the at most ``features.SAMPLE`` ids with the smallest hashes outside the
+    held-out fold, one row each; its label (0) says nothing."""
+    ids = docs.select(id_col).where(F.col(id_col).isNotNull() & (fx.crc32_of_id(id_col) % FOLDS != HELD_OUT)).distinct()
+    chosen = ids.orderBy(F.xxhash64(id_col), id_col).limit(fx.SAMPLE)
+    one = docs.join(F.broadcast(chosen), id_col, "left_semi").groupBy(id_col).agg(F.min(text_or_empty(text_col)).alias(text_col))
+    return fx.sample_features(one, chosen.select(id_col, F.lit(0).alias("label")), fx.stem_indicators, id_col, text_col, pattern_bits)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return fx.scored(docs, learned(docs, labels, id_col, text_col).score, FOLDS, HELD_OUT, THRESHOLD, id_col, text_col)
