@@ -24,6 +24,8 @@ BINS = 1 << 18
 MEMO = 400_000
 #: Lengths of the stems of a word.
 STEMS = (3, 4, 5, 6, 7)
+#: Words in a row among which a stem has to occur twice: one in 250 words.
+WINDOW = 500
 REPEATED = 0xFFFF
 #: From the first letter of a word to its last.
 LETTERS = re.compile(r"[^\W\d_](?:.*[^\W\d_])?", re.DOTALL)
@@ -37,7 +39,7 @@ def shape(word: str) -> str:
         if word[1:].islower() and word[0].isupper():
             return "Xx"
     out = []
-    for c in word[:64]:
+    for c in word:
         kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)
@@ -90,12 +92,16 @@ def ngram_indicators(text: str) -> np.ndarray:
 
 
 def stem_indicators(text: str) -> np.ndarray:
-    """Distinct hashed words, and stems that at least two words and one in 250 words begin with."""
+    """Distinct hashed words, and stems that at least two words of some ``WINDOW`` words in a row begin with."""
     rows = words().of(text)
-    exact = rows[:, 0]
-    stems, n = np.unique(rows[:, 1:-1], return_counts=True)
-    stems = stems[(n >= 2) & (250 * n >= len(rows)) & (stems >= 0)]
-    return np.concatenate([np.unique(exact[exact >= 0]), BINS + stems]).astype(np.int32)
+    exact, stems = rows[:, 0], rows[:, 1:-1]
+    if len(rows) <= WINDOW:
+        found, n = np.unique(stems, return_counts=True)
+        found = found[(n >= 2) & (found >= 0)]
+    else:  # neighbours of a stem, ordered by place, that are near enough
+        at = np.sort(((stems.astype(np.int64) << 32) + np.arange(len(rows))[:, None])[stems >= 0])
+        found = np.unique((at[1:] >> 32)[at[1:] - at[:-1] < WINDOW])
+    return np.concatenate([np.unique(exact[exact >= 0]), BINS + found]).astype(np.int32)
 
 
 def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
