@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadloom.llm import hamming_join, nb_svm, packing, quality_rules
-from spreadloom.llm.common import stored, table
+from spreadloom.llm.common import stored, table, text_or_empty
 
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +27,20 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): the smallest id. Of rows that repeat an id one
-    stays; documents without id stay."""
-    found = stored(hamming_join.near_duplicates(docs, width=5, percent=80), "groups")
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.limit(1).count():
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(*docs.columns)
+    """One document of each group of near-duplicates (five words, 0.8): the smallest id. Different texts that share an id
+    are documents of their own; of rows that repeat an id and its text one stays; documents without id stay."""
+    text = text_or_empty()
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        found = stored(hamming_join.near_duplicates(docs, width=5, percent=80), "groups")
+        return docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    first = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("_first"))
+    own = F.lit(1 << 62) + F.xxhash64("doc_id", text).bitwiseAND(F.lit((1 << 62) - 1))  # after the ids
+    key = F.when(F.col("_first").isNull() | (F.xxhash64(text) == F.col("_first")), F.col("doc_id")).otherwise(own)
+    keyed = stored(docs.join(first, "doc_id", "left").select(*docs.columns, key.alias("_key"), F.col("_first").isNotNull().alias("_many")), "keyed")
+    found = stored(hamming_join.near_duplicates(keyed, width=5, percent=80, id_col="_key"), "groups")
+    out = keyed.join(found.where(~F.col("kept")).select("_key").distinct(), "_key", "left_anti")
+    return out.where("NOT _many").unionByName(out.where("_many").dropDuplicates(["_key"])).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
