@@ -38,17 +38,5 @@ def test_with_labels_the_sample_has_the_votes_of_patterns(spark, phrases):
     assert ((first.posterior(votes) > 0.5) == [r.label == 1 for r in sample]).all()
 
 
-def test_a_dense_passage_of_a_long_text_keeps_its_stems():
-    clean = [f"q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(6000)]
-    toxic = ["zorkab", "zorked", "zorkum"] * 6
-    stem = fx.BINS + fx.hashed("zork*")
-    assert stem in fx.stem_indicators(" ".join(clean[:3000] + toxic + clean[3000:]))
-    assert stem not in fx.stem_indicators(" ".join(["zorkab", *clean, "zorked"])) and stem in fx.stem_indicators("zorkab a zorked")
-    short = " ".join(clean[:400] + toxic)
-    rows = fx.words().of(short)
-    stems, n = np.unique(rows[:, 1:-1], return_counts=True)
-    assert set(fx.stem_indicators(short)[fx.stem_indicators(short) >= fx.BINS]) == set(fx.BINS + stems[(n >= 2) & (stems >= 0)])
-
-
 def test_the_shape_is_of_the_whole_word():
     assert fx.shape("a" * 70 + "9" * 70 + "B/") == "x9X/"
