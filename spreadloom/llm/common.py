@@ -5,12 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handled at once inside a Python task, so that a batch of very long texts stays small in memory.
 SLICE = 256
+#: Bytes of text handled at once where many rows at once are faster; a longer text is handled alone.
+SLICE_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +71,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SLICE_BYTES bytes of text, which is its column of that number."""
+    size = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // SLICE_BYTES
+    cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(cut, cut[1:]) if b > a)
+
+
 def crc32_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id written as text; of a null id: null."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -5,23 +5,21 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, crc32_of_id, prepare, text_or_empty
-from .pretokens import Memo
+from .common import crc32_of_id, prepare, slices, text_or_empty
 
 #: At most so many labelled rows are learned from: those with the smallest hashes of their ids. They are few enough to
 #: be broadcast and to be fitted in one task.
 SAMPLE = 20_000
 #: Number of hashed features of each kind.
 BINS = 1 << 18
-MEMO = 400_000
 #: Lengths of the stems of a word.
 STEMS = (3, 4, 5, 6, 7)
 REPEATED = 0xFFFF
@@ -48,38 +46,59 @@ def hashed(text: str, bins: int = BINS) -> int:
     return xxhash.xxh3_64_intdigest(text) % bins
 
 
-def codes(word: str) -> bytes:
-    """Of a word: hashes of its letters in lower case and of its stems (-1: none), and of its shape."""
-    lower = word.lower()
-    if not lower.isalpha():
-        found = LETTERS.search(lower)
-        lower = found[0] if found else ""
-    stems = [hashed(f"{lower[:k]}*") if len(lower) > k else -1 for k in STEMS]
-    return np.array([hashed(lower) if lower else -1, *stems, hashed("\t" + shape(word), REPEATED)], np.int32).tobytes()
+def letters(words: list[str]) -> list[str]:
+    """Each word in lower case, from its first letter to its last."""
+    lower = [w.lower() for w in words]
+    return [w if w.isalpha() else m[0] if (m := LETTERS.search(w)) else "" for w in lower]
 
 
-class Words:
-    def __init__(self):
-        self.memo = Memo(codes, MEMO)
+def hashes(strings: list[str]) -> np.ndarray:
+    """Of each string its hashed feature, of an empty one -1."""
+    found = (np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings)) % np.uint64(BINS)).astype(np.int32)
+    return np.where([*map(bool, strings)], found, -1).astype(np.int32)
 
-    def of(self, text: str) -> np.ndarray:
-        """A row of codes for each word."""
-        self.memo = self.memo.renewed()
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, text.split())), np.int32).reshape(-1, 2 + len(STEMS))
 
+def word_and_stems(words: list[str]) -> np.ndarray:
+    """A row for each word: the hashed feature of its letters, and those of its stems (-1: none)."""
+    own = letters(words)
+    signs = np.array(own, f"U{STEMS[-1] + 1}").view(np.uint32).reshape(len(own), STEMS[-1] + 1)
+    out = np.full((len(own), 1 + len(STEMS)), -1, np.int32)
+    out[:, 0] = hashes(own)
+    total = np.zeros(len(own), np.uint64)
+    for k in range(STEMS[-1]):
+        total = (total + signs[:, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+        if k + 1 in STEMS:
+            out[:, 1 + STEMS.index(k + 1)] = np.where(signs[:, k + 1] > 0, BINS + ((total ^ total >> np.uint64(32)) % np.uint64(BINS)).astype(np.int64), -1)
+    return out
 
-@lru_cache(maxsize=1)
-def words() -> Words:
-    return Words()
 
+def word_and_shape(words: list[str]) -> np.ndarray:
+    """A row for each word: the hashed feature of its letters (-1: none), and the hash of its shape."""
+    return np.stack([hashes(letters(words)), np.array([hashed("\t" + shape(w), REPEATED) for w in words], np.int32)], 1)
 
-def ngram_indicators(text: str) -> np.ndarray:
-    """Distinct hashed n-grams: single words, and one to three shapes in a row, a repeated word being a shape too."""
-    rows = words().of(text)
-    if not len(rows):
-        return np.array([BINS], np.int32)
-    form = rows[:, -1].astype(np.int64)
-    form[1:][(rows[1:] == rows[:-1]).all(1)] = REPEATED
+
+def coded(texts: list[str] | pa.Array, make: Callable[[list[str]], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of the words, their rows of ``make``) of each text; different words of the texts are made once."""
+    split = pc.utf8_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+    words = split.flatten().dictionary_encode()
+    table, at, ends = make(words.dictionary.to_pylist()), words.indices.to_numpy(), split.offsets.to_numpy()
+    nothing = words.dictionary.index("").as_py()  # what the split gives of an empty text and of white space at an end
+    for start, end in zip(ends, ends[1:]):
+        own = at[start:end]
+        own = own[own != nothing]
+        yield own, table[own]
+
+
+def ngram_indicators(texts: list[str] | pa.Array) -> list[np.ndarray]:
+    """Of each text its distinct hashed n-grams: single words, and one to three shapes in a row, a repeated word being a
+    shape too."""
+    return [ngrams(at, rows) if len(at) else np.array([BINS], np.int32) for at, rows in coded(texts, word_and_shape)]
+
+
+def ngrams(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    form = rows[:, 1].astype(np.int64)
+    form[1:][at[1:] == at[:-1]] = REPEATED
     parts = [rows[:, 0][rows[:, 0] >= 0], BINS + form % BINS]
     for n in (2, 3):
         total = np.zeros(max(0, len(form) - n + 1), np.int64)
@@ -89,13 +108,18 @@ def ngram_indicators(text: str) -> np.ndarray:
     return np.unique(np.concatenate(parts)).astype(np.int32)
 
 
-def stem_indicators(text: str) -> np.ndarray:
-    """Distinct hashed words, and stems that at least two words and one in 250 words begin with."""
-    rows = words().of(text)
-    exact = rows[:, 0]
-    stems, n = np.unique(rows[:, 1:-1], return_counts=True)
-    stems = stems[(n >= 2) & (250 * n >= len(rows)) & (stems >= 0)]
-    return np.concatenate([np.unique(exact[exact >= 0]), BINS + stems]).astype(np.int32)
+def stem_indicators(texts: list[str] | pa.Array, known: np.ndarray | None = None) -> list[np.ndarray]:
+    """Of each text its distinct hashed words, and stems that at least two words and one in 250 words begin with; if
+    ``known`` is given, only the features it marks, whose counts alone are then taken."""
+    out = []
+    for at, rows in coded(texts, word_and_stems):
+        use = rows >= 0
+        if known is not None:
+            use &= known[rows]
+        stems, n = np.unique(rows[:, 1:][use[:, 1:]], return_counts=True)
+        stems = stems[(n >= 2) & (250 * n >= len(at))]
+        out.append(np.concatenate([np.unique(rows[:, 0][use[:, 0]]), stems]))
+    return out
 
 
 def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
@@ -104,15 +128,15 @@ def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, id
     return own.orderBy(F.xxhash64(id_col), id_col).limit(sample)
 
 
-def sample_features(docs: DataFrame, sample: DataFrame, indicators: Callable[[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: Callable[[str], int] | None = None) -> DataFrame:
+def sample_features(docs: DataFrame, sample: DataFrame, indicators: Callable[[pa.Array], list[np.ndarray]], id_col: str = "doc_id", text_col: str = "text", bits: Callable[[str], int] | None = None) -> DataFrame:
     """(label, features), and what ``bits`` gives of the text if it is given, of the sampled documents."""
     prepare(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)):
-                texts = part.column(1).to_pylist()
-                columns = [part.column(0), pa.array([indicators(t).tobytes() for t in texts], pa.binary()), *([pa.array(map(bits, texts), pa.int64())] if bits else [])]
+            for part in slices(batch, 1):
+                texts = part.column(1)
+                columns = [part.column(0), pa.array([x.tobytes() for x in indicators(texts)], pa.binary()), *([pa.array(map(bits, texts.to_pylist()), pa.int64())] if bits else [])]
                 yield pa.RecordBatch.from_arrays(columns, ["label", "features", "bits"][: len(columns)])
 
     rows = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(sample), id_col).select("label", "text")
@@ -155,19 +179,21 @@ def calibration(margins: np.ndarray, labels: np.ndarray, at: float) -> tuple[flo
     return a, float(np.log(at / (1 - at)) - a * cut)
 
 
-def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], folds: int, held_out: int, at: float, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], folds: int, held_out: int, at: float, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(id, held_out, score, predicted) of every document, or the columns ``keep`` where predicted is 1."""
     prepare(docs.sparkSession)
-    base = docs.select(*(keep or [id_col]), (F.coalesce(crc32_of_id(id_col), F.lit(0)) % folds == held_out).alias("held_out_"), text_or_empty(text_col).alias("text_"))
+    fold = F.coalesce(crc32_of_id(id_col), F.lit(0)) % folds == held_out
+    base = docs.select(F.struct(*(keep or [id_col])).alias("own"), fold.alias("fold"), text_or_empty(text_col).alias("whole_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)):
-                value = score(part.column("text_").to_pylist())
+            for part in slices(batch, 2):
+                value = score(part.column(2))
+                own = part.column(0).flatten()
                 if keep:
-                    yield part.select(keep).filter(pa.array(value >= at))
+                    yield pa.RecordBatch.from_arrays(own, keep).filter(pa.array(value >= at))
                 else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(value, pa.float64()), pa.array((value >= at).astype(np.int32), pa.int32())], [id_col, "held_out", "score", "predicted"])
+                    yield pa.RecordBatch.from_arrays([own[0], part.column(1), pa.array(value, pa.float64()), pa.array((value >= at).astype(np.int32), pa.int32())], [id_col, "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return base.mapInArrow(work, docs.select(*keep).schema if keep else f"{id_col} {kind}, held_out boolean, score double, predicted int")

@@ -4,8 +4,9 @@ Each indicator counts with the log of the ratio of its smoothed frequencies in t
 model on the scaled indicators is fitted by dual coordinate descent and blended with the mean weight. Learned from a
 bounded sample of labelled rows, in one task; scoring is one map over all texts.
 
-Defined results: a null or empty text has one feature of its own and a score; without labels every score is 0.5;
-repeated rows each keep a row; columns beside the id and the text are not read.
+Defined results: a null or empty text has one feature of its own and a score; a very long text is read whole; without
+labels every score is 0.5; an empty table gives no rows; repeated rows each keep a row; columns beside the id and the
+text are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import features as fx
@@ -32,8 +34,8 @@ class Model(NamedTuple):
     def margin(self, indicators: np.ndarray) -> float:
         return float(self.weights[indicators].sum() / np.sqrt(len(indicators) or 1) + self.bias)
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        return fx.sigmoid(self.a * np.array([self.margin(fx.ngram_indicators(t)) for t in texts]) + self.b)
+    def score(self, texts: list[str] | pa.Array) -> np.ndarray:
+        return fx.sigmoid(self.a * np.array([self.margin(x) for x in fx.ngram_indicators(texts)]) + self.b)
 
 
 def log_count_ratios(labels: np.ndarray, rows: list[np.ndarray], size: int) -> np.ndarray:

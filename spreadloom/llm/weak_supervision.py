@@ -1,14 +1,16 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior labels.
 
 Voters look for words of a lexicon, for patterns, and for words and stems that the labelled sample shows to go with
-toxic texts. The label model is a latent class with, for each voter, its rates of voting in toxic and other texts;
-expectation maximization over the vote patterns of all documents estimates them, and voters' weights fall with their
+toxic texts. The label model is a latent class with, for each voter, its rates of voting in toxic and other texts.
+Gold labels of the sample give the mined voters, the rate of toxic texts and the first guess of the rates; expectation
+maximization over the vote patterns of all documents then estimates the rates, and voters' weights fall with their
 correlations to others within the classes. A logistic model on hashed words and stems is trained on the posterior
-labels of the sample. Vote patterns are counted before anything is gathered; each step of the estimation is an
-aggregate.
+labels of the sample, and calibrated on a fifth of the sample that is kept apart from its training. Vote patterns are
+counted before anything is gathered; each step of the estimation is an aggregate.
 
-Defined results: a null or empty text has no votes and a score; without labels only the lexicon and patterns vote,
-and a sample of documents, bounded as that of labels, is learned from; repeated rows each keep a row; columns beside the id and the text are not read.
+Defined results: a null or empty text has no votes and a score; a very long text is read whole; without labels only the
+lexicon and patterns vote, and a sample of documents, bounded as that of labels, is learned from; an empty table gives
+no rows; repeated rows each keep a row; columns beside the id and the text are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features as fx
-from .common import SLICE, prepare, stored, text_or_empty
+from .common import prepare, slices, stored, text_or_empty
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 ANCHORS = (("you are ", "you all "), ("shut up", "go to hell", "get lost", "drop dead", "kill your"), ("hate ", "despise ", "will hurt "))
 MINED, EM_STEPS, EPOCHS, CHOSEN = 40, 8, 12, 8192
+#: Toxic texts that the part kept apart for calibration needs.
+LEAST_APART = 20
 
 #: Words of abuse, a voter a line.
 LEXICON = (
@@ -100,10 +104,10 @@ class Voters:
         return len(LEXICON) + len(PATTERNS) + len(self.mined) + 1
 
     def votes(self, indicators: np.ndarray, patterns: int) -> int:
-        """Bits of the voters that vote toxic, from the features and the pattern bits of a text."""
+        """Bits of the voters that vote toxic, from the known features and the pattern bits of a text."""
         out = patterns
-        for feature in indicators[self.known[indicators]].tolist():
-            out |= self.bits[feature]
+        for feature in indicators.tolist():
+            out |= self.bits.get(feature, 0)
         return out or 1 << len(self) - 1
 
 
@@ -185,8 +189,9 @@ class Classifier(NamedTuple):
     def margin(self, indicators: np.ndarray) -> float:
         return float(self.weights[indicators].sum() + self.bias)
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        return fx.sigmoid(self.a * np.array([self.margin(fx.stem_indicators(t)) for t in texts]) + self.b)
+    def score(self, texts: list[str] | pa.Array) -> np.ndarray:
+        """Only features with a weight are taken."""
+        return fx.sigmoid(self.a * np.array([self.margin(x) for x in fx.stem_indicators(texts, self.weights != 0)]) + self.b)
 
 
 def trained(target: np.ndarray, rows: list[np.ndarray], seed: int = 11) -> tuple[np.ndarray, float]:
@@ -222,8 +227,9 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)):
-                votes = [voters.votes(fx.stem_indicators(t), pattern_bits(t)) for t in part.column(0).to_pylist()]
+            for part in slices(batch, 0):
+                texts = part.column(0)
+                votes = [voters.votes(x, pattern_bits(t)) for x, t in zip(fx.stem_indicators(texts, voters.known), texts.to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(votes, pa.int64())], ["votes"])
 
     patterns = stored(docs.select(text_or_empty(text_col).alias("text")).mapInArrow(vote, "votes long").groupBy("votes").count(), "votes")
@@ -233,10 +239,14 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     def fit(labels: np.ndarray, rows: list[np.ndarray], bits: np.ndarray) -> Classifier:
         target = model.posterior(of_sample(rows, bits))
-        w, bias = trained(target, rows)
-        out = Classifier(w, bias, 1.0, 0.0)
         truth = labels if first else (target >= THRESHOLD).astype(int)
-        a, b = fx.calibration(np.array([out.margin(r) for r in rows]), truth, THRESHOLD)
+        inner = np.arange(len(rows)) % 5 != 0
+        if (truth[~inner] == 1).sum() < LEAST_APART:
+            inner[:] = True  # too few to place a threshold by: all rows train and calibrate
+        at, check = np.flatnonzero(inner), np.flatnonzero(inner if inner.all() else ~inner)
+        w, bias = trained(target[at], [rows[k] for k in at])
+        out = Classifier(w, bias, 1.0, 0.0)
+        a, b = fx.calibration(np.array([out.margin(rows[k]) for k in check]), truth[check], THRESHOLD)
         return out._replace(a=a, b=b)
 
     if not first:
