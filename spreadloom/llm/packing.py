@@ -14,70 +14,133 @@ repeated rows are packed each; an empty table gives no rows; columns beside the
 
 from __future__ import annotations
 
+import json
 import os
 import pickle
 import random
 import unicodedata
 import zlib
-from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, partitions, prepare, stored, text_or_empty
-from .pretokens import WHITE, Memo, printable_bytes
+from .common import partitions, prepare, slices, stored, text_or_empty
+from .pretokens import WHITE, printable_bytes
 
-#: Words in a worker's memo of ids; the oldest go first.
-MEMO = 300_000
+#: Pre-tokens in a worker's memo of ids; a full one begins anew, which changes no result.
+MEMO = 500_000
+#: Fixed value: what every special string holds; only pieces with it go through the whole library.
+MARK = "<|"
 #: The pre-token pattern of the word BPE file, with white space by the Unicode property White_Space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: A packing of more patterns than this many times the capacity is not kept, so its table stays small.
 MOST_PATTERNS = 4
-
 ISLANDS, POPULATION, EPOCHS, GENERATIONS, ELITES = 6, 6, 3, 6, 2
 
 
+def gathered(source: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The parts of ``source`` that begin there and are so long, one after the other."""
+    ends = np.cumsum(lengths)
+    return source[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordIds:
     """Ids by the tokenizers library for a file that normalizes to NFC and lower case and whose pre-tokenizer drops
-    white space. A text is cut at spaces and each piece at the pre-token pattern; the library's BPE model gives the ids
-    of a pre-token, once. Pieces that may hold special strings go through the whole library.
+    white space. Texts are cut at ASCII white space; the different pieces are cut at the pre-token pattern all at once,
+    and the library's BPE model gives the ids of each different pre-token once. Pieces that may hold special strings go
+    through the whole library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            check_word_file(json.load(f), path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.stand_in = {b: c for c, b in printable_bytes().items()}
-        self.pattern = regex.compile(WORD_PATTERN.replace(r"\s", "".join(WHITE)))
-        self.memo, self.bare = Memo(self.piece, MEMO), Memo(self.word, MEMO)
+        self.pattern = regex.compile(WORD_PATTERN.replace(r"\s", "".join(WHITE)) + "|\n")
+        self.forget()
 
-    def word(self, word: str) -> bytes:
-        text = word if word.isascii() and word.isprintable() else "".join(map(self.stand_in.__getitem__, word.encode()))
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+    def forget(self) -> None:
+        """The memo of pre-tokens: their numbers, and the begins and lengths of their ids. Number 0 ends a piece."""
+        self.number, self.begins, self.lengths, self.flat = {"\n": 0}, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def piece(self, piece: str) -> bytes:
-        if "<|" in piece:
-            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3")  # the library lowers each character alone
-        return b"".join(map(self.bare.__getitem__, self.pattern.findall(piece.lower())))
+    def word(self, word: str) -> list[int]:
+        if MARK in word:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        text = word if word.isascii() and word.isprintable() else "".join(map(self.stand_in.__getitem__, word.encode()))
+        return [t.id for t in self.model.tokenize(text)]
+
+    def learn(self, words: set[str]) -> None:
+        new = [*words.difference(self.number)]
+        if len(self.number) + len(new) > MEMO:
+            self.forget()
+            new = [*words.difference(self.number)]
+        if new:
+            ids = [*map(self.word, new)]
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+
+    def of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces, and the begin and length of each one's."""
+        marked = [MARK in p for p in pieces]
+        plain = "\n".join(p for p, m in zip(pieces, marked) if not m)
+        if not plain.isascii():
+            plain = unicodedata.normalize("NFC", plain).replace("\u03a3", "\u03c3")  # the library lowers each character alone
+        found = self.pattern.findall(plain.lower())
+        if not all(marked):
+            found.append("\n")
+        for piece in (p for p, m in zip(pieces, marked) if m):
+            found += piece, "\n"
+        self.learn({*found})
+        at = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        ids, ends = gathered(self.flat, self.begins[at], self.lengths[at]), np.cumsum(self.lengths[at])[at == 0]
+        order = np.argsort(np.argsort(marked, kind="stable"), kind="stable")
+        begins = np.concatenate([[0], ends[:-1]])
+        return ids, begins[order], (ends - begins)[order]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
-        self.memo, self.bare = self.memo.renewed(), self.bare.renewed()
-        return b"".join(map(self.memo.__getitem__, text.split(" ")))
+        return self.encode_all(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin; the last place is where all end."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(split) + 1, np.int64)
+        ids, begins, lengths = self.of_pieces(words.dictionary.to_pylist())
+        at = words.indices.to_numpy()
+        before = np.concatenate([[0], np.cumsum(lengths[at])])
+        return gathered(ids, begins[at], lengths[at]), before[split.offsets.to_numpy()]
+
+
+def check_word_file(spec: dict, path: str) -> None:
+    """Raises for a file whose normalizer, pre-tokenizer or special strings are not those that WordIds is written for."""
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    pattern = cuts[0].get("pattern", {}).get("Regex")
+    if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"] or pattern != WORD_PATTERN:
+        raise ValueError(f"{path}: not a lower-case word BPE file with the expected pre-token pattern")
+    if any(MARK not in t["content"] or t["content"].split() != [t["content"]] for t in spec.get("added_tokens", [])):
+        raise ValueError(f"{path}: special strings need {MARK!r} and no white space")
 
 
 @lru_cache(maxsize=2)
@@ -93,10 +156,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
         for batch in batches:
-            for part in (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)):
+            for part in slices(batch, 1):
                 of, place, length, crc = [], [], [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    ids = coder.encode(text) + end
+                flat, begins = coder.encode_all(part.column(1))
+                flat, begins = flat.astype("<u4").tobytes(), (4 * begins).tolist()
+                for row, (a, b) in enumerate(zip(begins, begins[1:])):
+                    ids = flat[a:b] + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         of.append(row)
@@ -218,22 +283,42 @@ def mutated(bins: dict, capacity: int, rng: random.Random) -> Packing:
     return out
 
 
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer bins: neither than all tokens fill, nor than there are pieces of over half the capacity, nor,
+    for any size, than pieces that leave less than it and pieces of at least it need together."""
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    most, count, tokens = int(sizes[-1]), np.zeros(capacity + 2, np.int64), np.zeros(capacity + 2, np.int64)
+    count[sizes], tokens[sizes] = n, n * sizes
+    count, tokens = np.cumsum(count), np.cumsum(tokens)
+    best = -(-int(tokens[most]) // capacity)
+    for k in range(1, capacity // 2 + 1):
+        alone, half = int(count[-1] - count[capacity - k]), int(count[capacity - k] - count[capacity // 2])
+        room = half * capacity - int(tokens[capacity - k] - tokens[capacity // 2])
+        rest = int(tokens[capacity // 2] - tokens[k - 1]) - room
+        best = max(best, alone + half + max(0, -(-rest // capacity)))
+    return best
+
+
 def evolve(population: list[dict], counts: dict[int, int], capacity: int, seed: int, generations: int) -> list[dict]:
-    """A population after some generations, best first. It ends early at the least number of bins there can be."""
+    """A population after some generations, best first. It ends early at the least number of bins there can be.
+
+    Placing a length adds at most three patterns to a table, so a packing from the start has at most three for each
+    length. A child of more than MOST_PATTERNS x capacity patterns doesn't enter, which bounds the tables.
+    """
     rng = random.Random(seed)
-    least = -(-sum(s * n for s, n in counts.items()) // capacity)
-    scored = []
+    least = least_bins(counts, capacity)
+    scored, number = [], count()
 
     def enter(p: Packing) -> None:
-        if len(p.bins) <= MOST_PATTERNS * capacity:
-            scored.append((p.n_bins(), -p.fitness(), len(scored), p.bins))
+        scored.append((p.n_bins(), -p.fitness(), next(number), p.bins))
 
     for bins in population:
         p = Packing(capacity)
         for pattern, n in bins.items():
             p.add(pattern, n)
         enter(p)
-    while len(scored) < POPULATION:
+    while len(scored) < POPULATION and not any(x[0] <= least for x in scored):
         enter(packed(shuffled(counts, rng, 0 if not scored else 0.1 * rng.random()), capacity))
     for _ in range(generations):
         scored.sort(key=lambda x: x[:3])
@@ -244,7 +329,9 @@ def evolve(population: list[dict], counts: dict[int, int], capacity: int, seed:
         for _ in range(POPULATION):
             a, b = rng.sample(parents, 2)
             child = crossover(a[3], b[3], counts, capacity, rng)
-            enter(mutated(child.bins, capacity, rng) if rng.random() < 0.5 else child)
+            child = mutated(child.bins, capacity, rng) if rng.random() < 0.5 else child
+            if len(child.bins) <= MOST_PATTERNS * capacity:
+                enter(child)
     scored.sort(key=lambda x: x[:3])
     return [x[3] for x in scored[:POPULATION]]
 
@@ -269,7 +356,8 @@ def best_packing(spark: SparkSession, counts: dict[int, int], capacity: int = 40
     for number in range(EPOCHS):
         if number:
             rows = rows.withColumn("island", F.explode(F.when(F.col("place") < ELITES, F.array("island", ((F.col("island") + 1) % ISLANDS).cast("int"))).otherwise(F.array("island"))))
-        rows = rows.groupBy("island").applyInPandas(epoch(number), schema)
+        # a range of its own for each island: a task each, which isn't merged with others
+        rows = stored(rows.repartitionByRange(ISLANDS, "island").groupBy("island").applyInPandas(epoch(number), schema), "islands")
     best = rows.orderBy("n_bins", "island", "place").select("bins").first()
     return pickle.loads(best["bins"])
 

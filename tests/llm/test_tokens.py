@@ -1,6 +1,7 @@
 """BPE, token counts and packing against the tokenizers library."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -101,6 +102,58 @@ def test_packing_reaches_the_least_number_of_bins(spark):
     assert used == counts
 
 
+def triples(capacity, bins, seed):
+    """Pieces that fill so many bins by threes, which best fit doesn't find."""
+    rng, counts = random.Random(seed), {}
+    for _ in range(bins):
+        a, b = (rng.randint(capacity * 26 // 100, capacity * 36 // 100) for _ in "ab")
+        for size in (a, b, capacity - a - b):
+            counts[size] = counts.get(size, 0) + 1
+    return counts
+
+
+@pytest.mark.parametrize(("capacity", "bins", "seed"), [(100, 40, 1), (1000, 30, 4)])
+def test_the_search_beats_best_fit_and_more_epochs_help(spark, monkeypatch, capacity, bins, seed):
+    counts = triples(capacity, bins, seed)
+    alone = packing.packed(sorted(counts.items(), reverse=True), capacity).n_bins()
+    found = []
+    for epochs in (1, 3):
+        monkeypatch.setattr(packing, "EPOCHS", epochs)
+        best = packing.best_packing(spark, counts, capacity)
+        used = {}
+        for pattern, n in best.items():
+            assert sum(pattern) <= capacity
+            for size in pattern:
+                used[size] = used.get(size, 0) + n
+        assert used == counts
+        found.append(sum(best.values()))
+    assert packing.least_bins(counts, capacity) == bins <= found[1] <= found[0] < alone
+
+
+def test_an_elite_from_another_island_lifts_the_next():
+    counts = triples(50, 60, 5)
+    start = packing.packed(sorted(counts.items(), reverse=True), 50).bins
+    elite = packing.evolve([], counts, 50, 1, 30)[0]
+    with_it, without = (packing.evolve([*extra, start], counts, 50, 7, 1)[0] for extra in ([elite], []))
+    assert sum(with_it.values()) <= sum(elite.values()) < sum(without.values())
+
+
+def test_no_packing_has_fewer_bins_than_the_bound():
+    assert packing.least_bins({6: 5}, 10) == 5 and packing.least_bins({10: 2, 1: 1}, 10) == 3 and packing.least_bins({7: 4, 4: 4, 3: 1}, 10) == 6
+    rng = random.Random(4)
+    for _ in range(30):
+        counts = {rng.randint(1, 20): rng.randint(1, 5) for _ in range(8)}
+        assert packing.least_bins(counts, 20) <= packing.packed(sorted(counts.items(), reverse=True), 20).n_bins()
+
+
+def test_another_kind_of_file_is_refused(tmp_path):
+    spec = json.loads(open(WORDS, encoding="utf-8").read())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[a-z]+"
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="pre-token"):
+        packing.WordIds(str(tmp_path / "other.json"))
+
+
 def test_equal_packings_in_a_population():
     counts = {700: 3, 3000: 2, 50: 1}
     for seed in range(4):
