@@ -8,7 +8,8 @@ out of or into these; a new shard takes rows only into itself.
 
 Slots are numbered in blocks of rows by hash and offset by the counts of the blocks before, so that no shard, however
 large, is numbered by one task. The text isn't shuffled. Defined results: a null text has size 1 and the checksum of
-the empty text; rows with equal ids go to one shard and get a slot each; a null id is a key of its own.
+the empty text; rows with equal ids go to one shard and get a slot each; a null id is a key of its own; a very
+long text is only measured; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ vectors travel in these joins; the search ends with exact cosines of the origina
 A query starts at its own node and goes on to the neighbours of the nearest nodes not yet visited, in a beam. Then
 each node stands for all ids of its vector that can be among the nearest.
 
-Defined results: vectors that are null, empty or zero or hold null or non-finite components take no part; of rows that
-share an id one vector is used; ties go to the smaller id; with few candidates all are returned; no rows give none.
+Defined results: vectors that are null, empty or zero or hold null or non-finite components take no part, nor do those
+of another length than most have (of equally frequent lengths the smaller counts); of rows that share an id one vector is used; ties go to the smaller id; with few candidates all are returned; no rows give none.
 """
 
 from __future__ import annotations
@@ -35,21 +35,22 @@ BEAM, WIDTH, STEPS = 96, 32, 4
 
 
 def clean_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector): double components as bytes, for rows that take part; one row an id."""
+    """(vec_id, vector): components as bytes, for rows that take part; one row an id. With ``size``, their number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
+            ids, out, sizes = [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if i is None or not x.is_valid or not len(x) or x.values.null_count:
                     continue
                 v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(v).all() and v.any():
                     ids.append(i)
+                    sizes.append(len(v))
                     out.append((v + 0.0).astype("<f8" if (v != v.astype(np.float32)).any() else "<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(sizes, pa.int32())], ["vec_id", "vector", "size"])
 
-    return rows.select(F.col(id_col).cast("long"), vector_col).mapInArrow(work, "vec_id long, vector binary").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.select(F.col(id_col).cast("long"), vector_col).mapInArrow(work, "vec_id long, vector binary, size int")
 
 
 def components_of(vectors: list[bytes], size: int) -> np.ndarray:
@@ -202,19 +203,23 @@ def beam_search(queries: DataFrame, graph: DataFrame, points: DataFrame) -> Data
         nexts = ahead.where("go").join(links, "node").select("query", F.col("next").alias("node")).distinct().join(ahead.select("query", "node"), ["query", "node"], "left_anti")
         scored = nexts.join(half, "node").join(of_query, "query").select("query", "node", "target", "half").mapInArrow(similar, "query long, node long, sim float, visited boolean")
         keep = Window.partitionBy("query").orderBy(F.col("sim").desc(), "node")
-        found = stored(ahead.drop("go").union(scored).withColumn("place", F.row_number().over(keep)).where(F.col("place") <= BEAM).drop("place"), "beam")
+        last, found = found, stored(ahead.drop("go").union(scored).withColumn("place", F.row_number().over(keep)).where(F.col("place") <= BEAM).drop("place"), "beam")
+        for gone in (ahead, last):
+            dropped(gone)
     return found.select("query", "node")
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest other rows of each row where ``is_query`` (of vec_id) holds."""
     prepare(rows.sparkSession)
-    vectors = stored(clean_vectors(rows, id_col, vector_col), "vectors")
-    first = vectors.select("vector").limit(1).collect()
+    clean = stored(clean_vectors(rows, id_col, vector_col), "vectors")
+    first = clean.groupBy("size").count().orderBy(F.col("count").desc(), "size").first()
     empty = "query_id long, rank int, vec_id long, score double"
     if not first:
         return rows.sparkSession.createDataFrame([], empty)
-    size = len(rows.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).select(vector_col).first()[0])
+    size = first["size"]
+    vectors = stored(clean.where(F.col("size") == size).groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    dropped(clean)
     by_vector = Window.partitionBy("vector").orderBy("vec_id")
     # Of equal vectors the k + 1 smallest ids can be results; queries keep their own ids.
     members = stored(vectors.withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1).withColumn("node", F.min("vec_id").over(Window.partitionBy("vector"))).select("node", "vec_id", "vector"), "members")

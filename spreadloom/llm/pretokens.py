@@ -38,6 +38,11 @@ def printable_bytes() -> dict[str, int]:
 def load(path: str) -> ByteBpe:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    own = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or (own.get("type"), own.get("use_regex"), own.get("add_prefix_space")) != ("ByteLevel", True, False):
+        raise ValueError(f"{path}: not a byte-level BPE file without normalizer whose pre-tokenizer has the usual pattern")
+    if any("<" not in t["content"] for t in spec["added_tokens"]):
+        raise ValueError(f"{path}: special strings need a '<'")
     alias = printable_bytes()
     vocab, special = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
     token_bytes = [b""] * (1 + max([*vocab.values(), *special.values()]))

@@ -4,7 +4,7 @@ A rule bounds a ratio of two counts of a text, in percent, so that all compariso
 are built from array functions; intermediate arrays are bound once by ``let``. Nothing is shuffled.
 
 Defined results: a null text has no words; a text without words fails the base; texts of any length are taken whole;
-repeated rows each keep a row.
+repeated rows each keep a row; an empty table gives no rows; other columns, whatever their names, are passed on or not read.
 """
 
 from __future__ import annotations
@@ -114,24 +114,25 @@ def base_failed(c: Column) -> Column:
     return (c["n_words"] < 50) | (c["n_repeat_words"] * 100 > c["n_words"] * 50)
 
 
-def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows with a struct column ``_quality``: counts, base_failed and kept."""
+def quality(rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> Column:
+    """A struct of a row: counts, base_failed and kept."""
 
     def judged(c: Column) -> Column:
         failed = base_failed(c)
         return c.withField("base_failed", failed).withField("kept", ~failed & verdict(c, rules))
 
-    return docs.withColumn("_quality", let(counts(text_or_empty(text_col)), judged))
+    return let(counts(text_or_empty(text_col)), judged)
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return measured(docs.select(id_col, text_col), rules, text_col).select(id_col, *[F.col("_quality")[n].alias(n) for n in names])
+    found = docs.select(F.col(id_col).alias("id"), quality(rules, text_col).alias("found"))
+    return found.select(F.col("id").alias(id_col), *[F.col("found")[n].alias(n) for n in names])
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows whose text passes the base and every rule; columns as they were."""
-    return measured(docs, rules, text_col).where("_quality.kept").drop("_quality")
+    return docs.where(quality(rules, text_col)["kept"])
 
 
 def duckdb_sql(rules: tuple[Rule, ...] = RULES) -> str:

@@ -7,7 +7,9 @@ string starts with, and, for each place inside that suffix, the last token and t
 there. That is enough for the next step: a token that ends later begins inside the suffix, and the tokens of a text
 are the one sequence whose neighbours all stay as they are when merged on their own.
 
-A text is cut into chunks of equal length. The map from entry state to exit state of every chunk is found for all
+A pre-token of more than LONG bytes is read in chunks as well: each chunk has a map from entry state to exit state and
+count, for the entry states that are met, and maps compose in rounds. For the splitter, a text is cut into chunks of
+equal length. The map from entry state to exit state of every chunk is found for all
 chunks at once, the maps of a text are composed by a parallel prefix scan, and with the entry states known all chunks
 are read at once. One map over the texts, no shuffle; a very long text is many chunks.
 
@@ -30,6 +32,8 @@ from . import bpe, pretokens
 from .common import SLICE, prepare, text_or_empty
 
 CHUNK = 512
+#: Bytes of a pre-token that is read in chunks, and bytes before a chunk that guess its entry state.
+LONG, WARM = 4096, 64
 #: Characters handled at once in a task; a longer text is handled alone.
 BLOCK = 2_000_000
 #: Compiled states of a worker; beyond it compilation starts anew, which changes no result.
@@ -208,15 +212,55 @@ class Counter:
         steps[byte] = found = (to, change)
         return found
 
-    def count_word(self, word: str) -> int:
+    def read(self, state: tuple, data: bytes) -> tuple[tuple, int]:
+        """Exit state, and the change of the count."""
         if len(self.states) > self.limit:
             self.reset()
-        state, n = self.start, 0
-        for byte in word.encode():
+        n = 0
+        for byte in data:
             step = state[2].get(byte)
             state, change = step or self.compile(state, byte)
             n += change
-        return n
+        return state, n
+
+    def count_word(self, word: str) -> int:
+        data = word.encode()
+        return self.read(self.start, data)[1] if len(data) <= LONG else self.count_long(data)
+
+    def count_long(self, data: bytes) -> int:
+        """The count of a pre-token of many chunks. The map of a chunk, from entry state to exit state and count, is made
+        for the state that WARM bytes before it lead to; equal chunks share their map. Neighbouring maps are composed
+        in rounds, and an entry state that a map lacks is added to it when it is met.
+        """
+        parts = [data[k : k + CHUNK] for k in range(0, len(data), CHUNK)]
+        known: dict[bytes, dict] = {}
+
+        def leaf(part: bytes, state: tuple) -> tuple[tuple, int]:
+            own = known.setdefault(part, {})
+            if (found := own.get(state[:2])) is None:
+                found = own[state[:2]] = self.read(state, part)
+            return found
+
+        def apply(node: tuple, state: tuple) -> tuple[tuple, int]:
+            own, left, right = node
+            if right is None:
+                return leaf(left, state)
+            if (found := own.get(state[:2])) is None:
+                middle, n = apply(left, state)
+                out, more = apply(right, middle)
+                found = own[state[:2]] = (out, n + more)
+            return found
+
+        nodes, entries = [({}, part, None) for part in parts], [self.start, *(self.read(self.start, data[k - WARM : k])[0] for k in range(CHUNK, len(data), CHUNK))]
+        for node, entry in zip(nodes, entries):
+            apply(node, entry)
+        while len(nodes) > 1:
+            pairs = [({}, *nodes[k : k + 2]) if k + 1 < len(nodes) else nodes[k] for k in range(0, len(nodes), 2)]
+            entries = entries[::2]
+            for node, entry in zip(pairs, entries):
+                apply(node, entry)
+            nodes = pairs
+        return apply(nodes[0], self.start)[1]
 
     def count(self, texts: list[str]) -> list[int]:
         special = self.coder.split_special

@@ -99,6 +99,21 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
     records(pages).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def inflated(data: bytes) -> bytes:
+    """The content of a gzip file of any number of members, such as one for each record."""
+    out, at, member = [], 0, None
+    while at < len(data):
+        member = member or zlib.decompressobj(wbits=47)
+        part = data[at : at + 65536]
+        out.append(member.decompress(part))
+        at += len(part) - len(member.unused_data)
+        if member.eof:
+            member = None
+    if member:
+        raise ValueError("a gzip member is cut short")
+    return b"".join(out)
+
+
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields in lower case, block) of each record of an archive."""
     at = 0
@@ -174,7 +189,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for fields, block in parsed(zlib.decompress(content.as_buffer(), wbits=47)):
+                for fields, block in parsed(inflated(content.as_py())):
                     number = int(fields.get("warc-segment-number", 0))
                     if not number:
                         rows.append((*row(finished(fields, block)), None, 0, None, None, None))

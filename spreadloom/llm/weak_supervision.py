@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features as fx
-from .common import prepare, slices, stored, text_or_empty
+from .common import dropped, prepare, slices, stored, text_or_empty
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 ANCHORS = (("you are ", "you all "), ("shut up", "go to hell", "get lost", "drop dead", "kill your"), ("hate ", "despise ", "will hurt "))
@@ -250,8 +250,12 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         return out._replace(a=a, b=b)
 
     if not first:
+        dropped(sample)
         sample = stored(unlabelled(docs, id_col, text_col), "sample")
-    return fx.fitted(sample, fit) or Classifier(np.zeros(2 * fx.BINS, np.float32), 0.0, 1.0, -1.0)
+    out = fx.fitted(sample, fit) or Classifier(np.zeros(2 * fx.BINS, np.float32), 0.0, 1.0, -1.0)
+    for gone in (sample, patterns):
+        dropped(gone)
+    return out
 
 
 def unlabelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

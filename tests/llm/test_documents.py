@@ -1,6 +1,7 @@
 """WARC, quality rules, near-duplicates and sharding against versions by brute force."""
 
 import base64
+import gzip
 import hashlib
 import math
 import re
@@ -51,6 +52,20 @@ def test_segments_and_chunks_are_checked():
             warc.joined(wrong, 2)
 
 
+def test_archives_with_a_gzip_member_for_each_record():
+    records = [f"WARC/1.1\r\nContent-Length: {n}\r\n\r\n".encode() + b"x" * n + b"\r\n\r\n" for n in (0, 5, 200_000)]
+    data = b"".join(map(gzip.compress, records))
+    assert [len(block) for _, block in warc.parsed(warc.inflated(data))] == [0, 5, 200_000] and warc.inflated(b"") == b""
+    with pytest.raises(ValueError):
+        warc.inflated(data[:-3])
+
+
+def test_rules_keep_a_column_of_any_name(spark):
+    text = " ".join(["the be to of and a long text with enough words"] * 8 + [f"w{k}" for k in range(100)])
+    docs = spark.createDataFrame([(1, text, 7), (2, "short", 8)], "doc_id long, text string, _quality int")
+    assert [(r.doc_id, r._quality) for r in quality_rules.keep_good(docs).collect()] == [(1, 7)] and quality_rules.keep_good(docs).columns == docs.columns
+
+
 def test_quality_rules_equal_sql_and_brute_force(corpus, nothing):
     got = {str(r.doc_id): r for r in quality_rules.quality_report(corpus).collect()}
     con = duckdb.connect()

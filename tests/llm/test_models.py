@@ -112,3 +112,17 @@ def test_neighbours(spark):
     assert nn_descent.search(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     few = table.where("vec_id in (0, 1, 2)")
     assert sorted((r["rank"]) for r in nn_descent.search(few, F.col("vec_id") % 50 == 0).collect()) == [1, 2]
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rows = [(k, [float(k % 7 + 1), float(k % 5), 1.0]) for k in range(60)] + [(100, [1.0] * 6), (150, [1.0] * 2)]
+    got = nn_descent.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    assert {r.query_id for r in got} == {0, 50} and not {r.vec_id for r in got} & {100, 150} and len(got) == 10
+
+
+@pytest.mark.parametrize("keep_good", [lambda docs, labels: nb_svm.keep_good(docs, docs, labels)])
+def test_columns_of_any_name_are_kept(spark, labelled, keep_good):
+    docs, labels = labelled
+    clashing = docs.withColumnsRenamed({"label": "text_", "features": "held_out_"}).withColumn("fold", F.lit(1)).withColumn("whole_text", F.lit("z"))
+    kept = keep_good(clashing, labels)
+    assert kept.columns == clashing.columns and kept.where("text_ = 'z' AND fold = 1").count() > 100

@@ -68,6 +68,26 @@ def test_token_counts_query(corpus, nothing):
     assert token_counts.token_counts(nothing, BYTES).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "abcab" * 40_000, "é" * 9_000, "ab" * 2_500 + "x" + "ba" * 2_500])
+def test_counts_of_chunks_of_a_long_pre_token_compose(text):
+    counter = token_counts.Counter(BYTES)
+    assert counter.count([text]) == [len(ids_of(BYTES)(text))]
+
+
+def test_random_letters_in_chunks():
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60_000))
+    assert token_counts.Counter(BYTES).count([text]) == [len(ids_of(BYTES)(text))]
+
+
+def test_another_byte_level_file_is_refused(tmp_path):
+    spec = json.loads(open(BYTES, encoding="utf-8").read())
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [{"content": "end", "id": 1}])):
+        (tmp_path / f"{key}.json").write_text(json.dumps({**spec, key: value}))
+        with pytest.raises(ValueError):
+            bpe.Encoder(str(tmp_path / f"{key}.json"))
+
+
 def check_packing(rows, docs, capacity):
     ids = ids_of(WORDS)
     want = sorted((str(d.doc_id), k, k * capacity, len(own), zlib.crc32(packed(own))) for d in docs for all_ in [[*ids(d.text), 1]] for k in range(-(-len(all_) // capacity)) for own in [all_[k * capacity : (k + 1) * capacity]])
