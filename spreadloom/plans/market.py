@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spreadloom.plans import job_queries, pair_queries, pipeline_queries, registry, series_queries, table_queries, universe_queries, window_queries  # noqa: F401  registration happens on import
+from spreadloom.plans import feature_queries, job_queries, pair_queries, pipeline_queries, registry, series_queries, table_queries, universe_queries, window_queries  # noqa: F401  registration happens on import
 
 FLAGSHIP = "j02_pair_ranking"
 
