@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,3 +185,55 @@ def matrix_cells(m: DataFrame, key: str) -> DataFrame:
 
 def matrix_statistics(m: DataFrame, key: str) -> DataFrame:
     return matrix_cells(m, key).groupBy(key).agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.sum(F.when(F.col("r") == F.col("c"), F.col("v"))).alias("trace"))
+
+
+def factor_regression(data: DataFrame, key: str, y: str, factors: list[str]) -> DataFrame:
+    """(key, factor, n, beta, t, r2, marginal_r2) of a regression with constant of y on the factors, for each key. The
+    moments are one aggregate with partial sums; a key's small system is solved from its row. Factors that are constant
+    or all but equal to an earlier one (correlation over 0.98) are left out of their key."""
+    names = [*factors, y]
+    sums = [F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]]
+    sums += [F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    whole_rows = data.dropna(subset=names)
+    moments = whole_rows.groupBy(key).agg(*sums)
+    kind = data.schema[key].dataType.simpleString()
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = len(factors)
+        for rows in batches:
+            out = []
+            for row in rows.to_dict("records"):
+                s = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]) * row["n"]
+                use: list[int] = []
+                for i in range(k):
+                    if s[i, i] > 1e-12 and all(abs(s[i, j]) <= 0.98 * (s[i, i] * s[j, j]) ** 0.5 for j in use):
+                        use.append(i)
+                free = row["n"] - len(use) - 1
+                if not use or free < 3 or s[k, k] <= 0:
+                    continue
+                explained = lambda at: float(s[at, k] @ np.linalg.solve(s[np.ix_(at, at)], s[at, k])) if at else 0.0
+                inverse = np.linalg.inv(s[np.ix_(use, use)])
+                beta, r2 = inverse @ s[use, k], explained(use)
+                error = (s[k, k] - r2) / free
+                for place, i in enumerate(use):
+                    rest = [j for j in use if j != i]
+                    out.append((row[key], factors[i], row["n"], beta[place], beta[place] / (error * inverse[place, place]) ** 0.5, r2 / s[k, k], (r2 - explained(rest)) / s[k, k]))
+            yield pd.DataFrame(out, columns=[key, "factor", "n", "beta", "t", "r2", "marginal_r2"])
+
+    return moments.mapInPandas(solved, f"{key} {kind}, factor string, n long, beta double, t double, r2 double, marginal_r2 double")
+
+
+def covariance_variants(returns: DataFrame, share: float, ridge: float) -> DataFrame:
+    """(a, b, sample, shrunk, oas, ridge) of returns (symbol, dt, ret): shrunk to the mean variance by a stated share and by
+    the oracle-approximating share, and with a ridge of a share of the mean variance. The traces are one aggregate."""
+    one = returns.select("dt", F.col("symbol").alias("a"), F.col("ret").alias("ra"))
+    two = returns.select("dt", F.col("symbol").alias("b"), F.col("ret").alias("rb"))
+    c = one.join(two, "dt").where("a <= b").groupBy("a", "b").agg(F.covar_samp("ra", "rb").alias("sample"), F.count("*").alias("n"))
+    own = F.col("a") == F.col("b")
+    k = c.agg(F.count_if(own).cast("double").alias("p"), F.max("n").cast("double").alias("rows"), F.sum(F.when(own, F.col("sample"))).alias("tr"), F.sum(F.col("sample") ** 2 * F.when(own, 1).otherwise(2)).alias("tr2"))
+    top = (1 - 2 / F.col("p")) * F.col("tr2") + F.col("tr") ** 2
+    rho = F.least(F.lit(1.0), top / ((F.col("rows") + 1 - 2 / F.col("p")) * (F.col("tr2") - F.col("tr") ** 2 / F.col("p"))))
+    one_row = k.select((F.col("tr") / F.col("p")).alias("mu"), rho.alias("rho"))
+    on = lambda v: F.when(own, v * F.col("mu")).otherwise(0.0)
+    v = F.col("sample")
+    return c.crossJoin(F.broadcast(one_row)).select("a", "b", "sample", ((1 - share) * v + on(F.lit(share))).alias("shrunk"), ((1 - F.col("rho")) * v + on(F.col("rho"))).alias("oas"), (v + on(F.lit(ridge))).alias("ridge"))

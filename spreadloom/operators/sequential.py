@@ -132,17 +132,17 @@ def kalman_hedge(pairs: DataFrame, obs_cov: float = 1e-3, step_cov: float = 1e-4
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("dt")
-        x, y = np.log(rows["x"].to_numpy()), np.log(rows["y"].to_numpy())
-        state, cov = np.array([1.0, 0.0]), np.eye(2)
-        out = np.empty((len(x), 3))
-        for k in range(len(x)):
-            cov = cov + step_cov * np.eye(2)
-            h = np.array([y[k], 1.0])
-            error = x[k] - h @ state
-            gain = cov @ h / (h @ cov @ h + obs_cov)
-            state = state + gain * error
-            cov = cov - np.outer(gain, h) @ cov
-            out[k] = state[0], state[1], error
+        x, y = np.log(rows["x"].to_numpy()).tolist(), np.log(rows["y"].to_numpy()).tolist()
+        beta, alpha, p, q, r = 1.0, 0.0, 1.0, 0.0, 1.0  # the state, and its covariance (p q; q r)
+        out = []
+        for target, h in zip(x, y):
+            p, r = p + step_cov, r + step_cov
+            first, second = h * p + q, h * q + r
+            error, scale = target - (h * beta + alpha), h * first + second + obs_cov
+            beta, alpha = beta + first / scale * error, alpha + second / scale * error
+            p, q, r = p - first / scale * first, q - first / scale * second, r - second / scale * second
+            out.append((beta, alpha, error))
+        out = np.array(out)
         return pd.DataFrame({"pair_id": key[0], "dt": rows["dt"].to_numpy(), "beta": out[:, 0], "alpha": out[:, 1], "error": out[:, 2]})
 
     return pairs.select("pair_id", "dt", "x", "y").groupBy("pair_id").applyInPandas(run, "pair_id string, dt date, beta double, alpha double, error double")

@@ -251,6 +251,20 @@ def threshold_quantiles(df: DataFrame, z: str, entry: float, exit_: float, key:
     return df.where(F.col(z).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.percentile(F.abs(z), entry).alias("entry"), F.percentile(F.abs(z), exit_).alias("exit"))
 
 
+def ewma_moments(pairs: DataFrame, span: int, key: str = "pair_id") -> DataFrame:
+    """(key, dt, vol_x, vol_y, cov, corr): exponentially weighted means of the squares and the product of two return
+    columns rx and ry, by the recursion of ``ewma``; a pair is one task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("dt")
+        xx, yy, xy = (v.ewm(span=span, adjust=False).mean() for v in (rows["rx"] ** 2, rows["ry"] ** 2, rows["rx"] * rows["ry"]))
+        return pd.DataFrame({key: rows[key], "dt": rows["dt"], "vol_x": xx**0.5, "vol_y": yy**0.5, "cov": xy, "corr": xy / (xx * yy) ** 0.5})
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    own = pairs.where("rx IS NOT NULL AND ry IS NOT NULL").select(key, "dt", "rx", "ry")
+    return own.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, dt {kinds['dt']}, vol_x double, vol_y double, cov double, corr double")
+
+
 def ewma(df: DataFrame, x: str, span: int, key: str = "symbol") -> DataFrame:
     """y = a x + (1 - a) y(-1), a = 2 / (span + 1): a recursion in time, so one series is one task, all series in parallel."""
 

@@ -14,13 +14,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def register(sql: str | None = None, grain: str = "week") -> Callable[[Query], Query]:
+def register(sql: str | None = None, grain: str = "week", recursive: bool = False) -> Callable[[Query], Query]:
     """Registers a query under its function's name; sql may use the panels."""
 
     def put(query: Query) -> Query:
         QUERIES[query.__name__] = query
         if sql:
-            SQL[query.__name__] = with_panels(sql, grain)
+            SQL[query.__name__] = with_panels(sql, grain, recursive)
         return query
 
     return put

@@ -12,31 +12,61 @@ from spreadloom.operators import scoring as sc
 from spreadloom.operators import sequential as s
 from spreadloom.operators import windows as w
 from spreadloom.plans.job_queries import spread_z
-from spreadloom.plans.pair_queries import pairs_of
+from spreadloom.plans.pair_queries import PAIRS, RETS, pairs_of
 from spreadloom.plans.registry import register
 from spreadloom.plans.table_queries import r6
-from spreadloom.plans.window_queries import RET, ZSQL, bar_z, segment_pairs
+from spreadloom.plans.window_queries import EWMA, RET, TWO, ZSQL, bar_z, segment_pairs
 from spreadloom.sources import panels
 
 
-@register()
+@register(""", n AS MATERIALIZED (SELECT symbol, dt, coalesce(close - lag(close) OVER o, 0) AS d, row_number() OVER o AS k FROM segs WINDOW o AS (PARTITION BY symbol ORDER BY dt)),
+c AS (SELECT symbol, dt, k, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q FROM n WHERE k = 1
+  UNION ALL SELECT symbol, dt, k, up, down, CASE WHEN up > 200000 OR down > 200000 THEN 0 ELSE up END, CASE WHEN up > 200000 OR down > 200000 THEN 0 ELSE down END
+  FROM (SELECT n.symbol, n.dt, n.k, greatest(0, c.p + n.d - 1000) AS up, greatest(0, c.q - n.d - 1000) AS down FROM c JOIN n ON n.symbol = c.symbol AND n.k = c.k + 1))
+SELECT symbol, dt, round(up, 5) + 0.0 AS up, round(down, 5) + 0.0 AS down, CASE WHEN up > 200000 THEN 1 WHEN down > 200000 THEN -1 ELSE 0 END AS alarm FROM c""", recursive=True)
 def e12_cusum_chart(spark, d):
-    return s.cusum_chart(panels.segment_bars(spark, d), "close", 200_000.0, 1_000.0)
+    return r6(s.cusum_chart(panels.segment_bars(spark, d), "close", 200_000.0, 1_000.0), "symbol", "dt", "alarm", six=["up", "down"], places=5)
 
 
-@register()
+@register(f""", n AS (SELECT symbol, dt, close, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS k FROM bars),
+r AS (SELECT a.symbol, a.dt, any_value(a.close) - sum(b.close * {EWMA}) AS r FROM n a JOIN n b ON a.symbol = b.symbol AND b.k <= a.k GROUP BY 1, 2)
+SELECT symbol, dt, CASE WHEN count(r) OVER w = 26 THEN round((r - avg(r) OVER w) / nullif(stddev_pop(r) OVER w, 0), 6) + 0.0 END AS z FROM r WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)""")
 def e16_ewma_residual_z(spark, d):
-    return s.ewma_residual_z(panels.bars(spark, d), "close", 12, 26)
+    return r6(s.ewma_residual_z(panels.bars(spark, d), "close", 12, 26).replace(float("nan"), None), "symbol", "dt", six=["z"])
 
 
-@register()
+@register(f"""{RETS}, n AS (SELECT pair_id, dt, rx, ry, row_number() OVER (PARTITION BY pair_id ORDER BY dt) AS k FROM pr WHERE rx IS NOT NULL AND ry IS NOT NULL),
+m AS (SELECT a.pair_id, a.dt, sum(b.rx * b.rx * {EWMA}) AS xx, sum(b.ry * b.ry * {EWMA}) AS yy, sum(b.rx * b.ry * {EWMA}) AS xy FROM n a JOIN n b ON a.pair_id = b.pair_id AND b.k <= a.k GROUP BY 1, 2)
+SELECT pair_id, dt, round(sqrt(xx), 6) AS vol_x, round(sqrt(yy), 6) AS vol_y, round(xy, 6) + 0.0 AS cov, round(xy / sqrt(xx * yy), 6) + 0.0 AS corr FROM m""", "month")
+def e09_ewma_moments(spark, d):
+    o = x.ordered("pair_id")
+    step = lambda c: F.ln(c) - F.lag(F.ln(c)).over(o)
+    r = pairs_of(spark, d).select("pair_id", "dt", step("x").alias("rx"), step("y").alias("ry"))
+    return r6(w.ewma_moments(r, 12), "pair_id", "dt", six=["vol_x", "vol_y", "cov", "corr"])
+
+
+#: Autocorrelations r by symbol and lag.
+ACF = """, e AS (SELECT symbol, dt, close - avg(close) OVER (PARTITION BY symbol) AS e, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS k FROM bars),
+acf AS (SELECT a.symbol, b.k - a.k AS lag, sum(a.e * b.e) AS s FROM e a JOIN e b ON a.symbol = b.symbol AND b.k - a.k BETWEEN 0 AND {n} GROUP BY 1, 2),
+r AS (SELECT symbol, lag, s / first_value(s) OVER (PARTITION BY symbol ORDER BY lag) AS r FROM acf)"""
+
+
+@register(f"""{ACF.format(n=5)}, l AS (SELECT symbol, list(r ORDER BY lag) AS r FROM r GROUP BY 1),
+p AS (SELECT symbol, r, 1 AS k, [r[2]] AS phi, r[2] AS a FROM l UNION ALL
+  SELECT symbol, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - b * phi[k + 1 - j]), b), b
+  FROM (SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1]))) AS b FROM p WHERE k < 5))
+SELECT symbol, k AS lag, round(a, 6) + 0.0 AS pacf FROM p""", recursive=True)
 def e19_pacf(spark, d):
-    return s.pacf(panels.bars(spark, d), "close", 5)
+    return r6(s.pacf(panels.bars(spark, d), "close", 5).select("symbol", F.posexplode("pacf").alias("at", "pacf")).withColumn("lag", F.col("at") + 1), "symbol", "lag", six=["pacf"])
 
 
-@register()
+@register(f"""{RET}, n AS (SELECT symbol, dt, log_ret AS v, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS k FROM r),
+f AS (SELECT a.symbol, a.dt, b.v, min(b.v) OVER g AS lo, max(b.v) OVER g AS hi, count(b.v) OVER g AS n FROM n a JOIN n b ON a.symbol = b.symbol AND b.k BETWEEN a.k - 39 AND a.k WINDOW g AS (PARTITION BY a.symbol, a.dt)),
+h AS (SELECT symbol, dt, CASE WHEN hi > lo THEN least(9, floor((v - lo) / (hi - lo) * 10)) ELSE 5 END AS bin, count(*) AS c FROM f WHERE n = 40 GROUP BY 1, 2, 3),
+e AS (SELECT symbol, dt, -sum(c / 40.0::DOUBLE * ln(c / 40.0::DOUBLE)) AS entropy FROM h GROUP BY 1, 2)
+SELECT symbol, dt, round(entropy, 6) + 0.0 AS entropy FROM bars LEFT JOIN e USING (symbol, dt)""")
 def e20_rolling_entropy(spark, d):
-    return s.rolling_entropy(w.returns(panels.bars(spark, d)), "log_ret", 40)
+    return r6(s.rolling_entropy(w.returns(panels.bars(spark, d)), "log_ret", 40).replace(float("nan"), None), "symbol", "dt", six=["entropy"])
 
 
 @register()
@@ -49,9 +79,14 @@ def e33_threshold_quantiles(spark, d):
     return r6(w.threshold_quantiles(bar_z(spark, d), "z", 0.9, 0.3), "symbol", "n", six=["entry", "exit"])
 
 
-@register()
+@register(""", l AS (SELECT symbol, list(close) AS xs, last(close ORDER BY dt) AS latest, median(close) AS loc FROM bars GROUP BY 1 HAVING count(*) >= 3),
+m AS (SELECT *, 1.4826 * list_median(list_transform(xs, lambda v: abs(v - loc))) AS scale FROM l),
+h AS (SELECT symbol, xs, latest, scale, loc, 0 AS step, false AS done FROM m WHERE scale > 0 UNION ALL
+  SELECT symbol, xs, latest, scale, next, step + 1, abs(next - loc) < 1e-9 * scale
+  FROM (SELECT *, list_sum(list_transform(xs, lambda v: v * least(1, 1.345 * scale / greatest(abs(v - loc), 1e-300)))) / list_sum(list_transform(xs, lambda v: least(1, 1.345 * scale / greatest(abs(v - loc), 1e-300)))) AS next FROM h WHERE step < 25 AND NOT done))
+SELECT s.symbol, round((latest - loc) / scale, 5) + 0.0 AS huber_z FROM (SELECT DISTINCT symbol FROM bars) s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY step DESC) AS k FROM h) h ON s.symbol = h.symbol AND k = 1""", recursive=True)
 def e33_huber_z(spark, d):
-    return s.huber_z(panels.bars(spark, d), "close")
+    return r6(s.huber_z(panels.bars(spark, d), "close"), "symbol", six=["huber_z"], places=5)
 
 
 @register()
@@ -60,9 +95,14 @@ def i03_pair_tests(spark, d):
     return s.pair_tests(pairs_of(spark, d))
 
 
-@register()
+@register(f"""{TWO}, n AS MATERIALIZED (SELECT pair_id, dt, ln(x) AS x, ln(y) AS y, row_number() OVER (PARTITION BY pair_id ORDER BY dt) AS k FROM two),
+f AS (SELECT pair_id, NULL::DATE AS dt, 0::BIGINT AS k, 1.0::DOUBLE AS beta, 0.0::DOUBLE AS alpha, 0.0::DOUBLE AS error, 1.0::DOUBLE AS p, 0.0::DOUBLE AS q, 1.0::DOUBLE AS r FROM n WHERE k = 1 UNION ALL
+  SELECT pair_id, dt, k, beta + u / s * e, alpha + v / s * e, e, p - u / s * u, q - u / s * v, r - v / s * v
+  FROM (SELECT *, x - (y * beta + alpha) AS e, y * u + v + 1e-3 AS s
+    FROM (SELECT n.pair_id, n.dt, n.k, n.x, n.y, f.beta, f.alpha, f.p + 1e-4 AS p, f.q, f.r + 1e-4 AS r, n.y * (f.p + 1e-4) + f.q AS u, n.y * f.q + f.r + 1e-4 AS v FROM f JOIN n ON n.pair_id = f.pair_id AND n.k = f.k + 1)))
+SELECT pair_id, dt, round(beta, 5) + 0.0 AS beta, round(alpha, 5) + 0.0 AS alpha, round(error, 5) + 0.0 AS error FROM f WHERE k > 0""", recursive=True)
 def i09_kalman_hedge(spark, d):
-    return s.kalman_hedge(segment_pairs(spark, d))
+    return r6(s.kalman_hedge(segment_pairs(spark, d)), "pair_id", "dt", six=["beta", "alpha", "error"], places=5)
 
 
 @register()
@@ -71,9 +111,12 @@ def i10_validation_verdict(spark, d):
     return sc.validated(p.pair_metrics(pairs), s.pair_tests(pairs), p.hedge_stability(pairs, 8, 30), least_n=60)
 
 
-@register()
+@register(f"""{PAIRS}, dist AS (SELECT a.pair_id, a.dt AS i, b.dt AS j, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM px a JOIN px b ON a.pair_id = b.pair_id),
+c AS (SELECT pair_id, dx - avg(dx) OVER ri - avg(dx) OVER cj + avg(dx) OVER g AS a, dy - avg(dy) OVER ri - avg(dy) OVER cj + avg(dy) OVER g AS b FROM dist
+  WINDOW ri AS (PARTITION BY pair_id, i), cj AS (PARTITION BY pair_id, j), g AS (PARTITION BY pair_id))
+SELECT pair_id, round(CASE WHEN avg(a * a) * avg(b * b) > 0 THEN sqrt(greatest(0, avg(a * b)) / sqrt(avg(a * a) * avg(b * b))) END, 5) AS dcor FROM c GROUP BY 1""", "month")
 def i15_distance_correlation(spark, d):
-    return s.distance_correlation(pairs_of(spark, d))
+    return r6(s.distance_correlation(pairs_of(spark, d)), "pair_id", six=["dcor"], places=5)
 
 
 @register()
@@ -101,9 +144,10 @@ def i26_mahalanobis(spark, d):
     return s.mahalanobis(panels.macro(spark, d).withColumn("book", F.lit("macro")), ["discount", "tax", "returned", "quantity"], 52)
 
 
-@register()
+@register(f"""{ACF.format(n=10)}, n AS (SELECT symbol, count(*) AS n FROM bars GROUP BY 1), q AS (SELECT symbol, any_value(n) * (any_value(n) + 2) * sum(r * r / (n - lag)) AS q FROM r JOIN n USING (symbol) WHERE lag > 0 GROUP BY 1)
+SELECT symbol, round(q, 5) AS q, round(least(1, exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24)), 5) AS p FROM q""")
 def i33_ljung_box(spark, d):
-    return s.ljung_box(panels.bars(spark, d), "close", 10)
+    return r6(s.ljung_box(panels.bars(spark, d), "close", 10), "symbol", six=["q", "p"], places=5)
 
 
 FACT = "unnest(['discount', 'tax', 'returned', 'quantity']) AS factor, unnest([discount, tax, returned, quantity]) AS v"
@@ -217,3 +261,24 @@ def o04_matrix_statistics(spark, d):
     cells = panels.table(spark, d, "part").groupBy(F.col("p_brand").alias("pair"), (F.col("p_size") % 12).alias("id")).agg(F.count("*").cast("double").alias("v"))
     m = sc.matrices(cells.select("pair", F.expr("id div 4").cast("int").alias("r"), (F.col("id") % 4).cast("int").alias("c"), "v"), "pair", 3, 4)
     return sc.matrix_statistics(m, "pair").select("pair", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"), "trace")
+
+
+@register(f"""{RET}, m AS (SELECT r.symbol, r.ret AS y, quantity AS a, discount AS b FROM r JOIN macro USING (dt) WHERE ret IS NOT NULL),
+t AS (SELECT symbol, count(*) AS n, regr_sxx(a, a) AS saa, regr_sxx(b, b) AS sbb, regr_sxy(a, b) AS sab, regr_sxy(a, y) AS say, regr_sxy(b, y) AS sby, regr_sxx(y, y) AS syy FROM m GROUP BY 1 HAVING count(*) > 5),
+u AS (SELECT *, saa * sbb - sab * sab AS det FROM t), v AS (SELECT *, (sbb * say - sab * sby) / det AS ba, (saa * sby - sab * say) / det AS bb FROM u),
+w AS (SELECT *, ba * say + bb * sby AS explained FROM v), z AS (SELECT *, (syy - explained) / (n - 3) AS s2 FROM w)
+SELECT symbol, 'quantity' AS factor, n, round(ba, 6) + 0.0 AS beta, round(ba / sqrt(s2 * sbb / det), 5) + 0.0 AS t, round(explained / syy, 6) AS r2, round((explained - sby * sby / sbb) / syy, 6) + 0.0 AS marginal_r2 FROM z
+UNION ALL SELECT symbol, 'discount', n, round(bb, 6) + 0.0, round(bb / sqrt(s2 * saa / det), 5) + 0.0, round(explained / syy, 6), round((explained - say * say / saa) / syy, 6) + 0.0 FROM z""")
+def d18_multi_factor_ols(spark, d):
+    data = w.returns(panels.bars(spark, d)).where("ret IS NOT NULL").join(panels.macro(spark, d), "dt")
+    f = sc.factor_regression(data, "symbol", "ret", ["quantity", "discount"])
+    return f.select("symbol", "factor", "n", *[(F.round(c, k) + 0.0).alias(c) for c, k in (("beta", 6), ("t", 5), ("r2", 6), ("marginal_r2", 6))])
+
+
+@register(f"""{RET}, q AS (SELECT symbol, dt, ret FROM r WHERE ret IS NOT NULL), c AS (SELECT a.symbol AS a, b.symbol AS b, covar_samp(a.ret, b.ret) AS v, count(*) AS n FROM q a JOIN q b ON a.dt = b.dt AND a.symbol <= b.symbol GROUP BY 1, 2),
+k AS (SELECT sum(CASE WHEN a = b THEN 1 ELSE 0 END)::DOUBLE AS p, max(n)::DOUBLE AS n, sum(CASE WHEN a = b THEN v END) AS tr, sum(CASE WHEN a = b THEN v * v ELSE 2 * v * v END) AS tr2 FROM c),
+s AS (SELECT *, tr / p AS mu, least(1, ((1 - 2 / p) * tr2 + tr * tr) / ((n + 1 - 2 / p) * (tr2 - tr * tr / p))) AS rho FROM k)
+SELECT a, b, round(v, 7) + 0.0 AS sample, round(0.9 * v + CASE WHEN a = b THEN 0.1 * mu ELSE 0 END, 7) + 0.0 AS shrunk, round((1 - rho) * v + CASE WHEN a = b THEN rho * mu ELSE 0 END, 7) + 0.0 AS oas, round(v + CASE WHEN a = b THEN 0.05 * mu ELSE 0 END, 7) + 0.0 AS ridge FROM c, s""", "month")
+def i24_covariance_variants(spark, d):
+    r = w.returns(panels.bars(spark, d, "month")).where("ret IS NOT NULL").select("symbol", "dt", "ret")
+    return r6(sc.covariance_variants(r, 0.1, 0.05), "a", "b", six=["sample", "shrunk", "oas", "ridge"], places=7)

@@ -78,7 +78,12 @@ def e08_bollinger(spark, d):
     return b.select("symbol", "dt", *[F.round(c, 3).alias(c) for c in ("mid", "upper", "lower")], F.round("bandwidth", 6).alias("bandwidth"), F.round("percent_b", 6).alias("percent_b"))
 
 
-@register()
+#: Weights of the recursion written out: the first value counts whole, later ones by 2 / (span + 1).
+EWMA = "pow(11 / 13.0::DOUBLE, a.k - b.k) * CASE WHEN b.k = 1 THEN 1 ELSE 2 / 13.0::DOUBLE END"
+
+
+@register(f""", n AS (SELECT symbol, dt, close, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS k FROM bars)
+SELECT a.symbol, a.dt, round(sum(b.close * {EWMA}), 6) AS ewma FROM n a JOIN n b ON a.symbol = b.symbol AND b.k <= a.k GROUP BY 1, 2""")
 def e09_ewma(spark, d):
     return rounded(w.ewma(panels.bars(spark, d), "close", 12), "symbol", "dt", ewma="ewma")
 

@@ -104,7 +104,7 @@ positions AS (SELECT s_name AS pair, 'Brand#' || (s_suppkey % 25 + 1) AS leg_x,
 """
 
 
-def with_panels(sql: str, grain: str = "week") -> str:
+def with_panels(sql: str, grain: str = "week", recursive: bool = False) -> str:
     """DuckDB SQL that may use the panels; ``sql`` begins with further CTEs after a comma, or with SELECT."""
-    head = "WITH " + SQL.format(grain=grain).strip()
+    head = ("WITH RECURSIVE " if recursive else "WITH ") + SQL.format(grain=grain).strip()
     return head + (sql if sql.lstrip().startswith(",") else "\n" + sql)
