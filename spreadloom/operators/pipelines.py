@@ -106,11 +106,12 @@ def decisions(candidates_: DataFrame, verdicts: DataFrame, regimes: DataFrame) -
 
 
 def ranked(df: DataFrame, score: Column, key: str, cells: int = 1000) -> DataFrame:
-    """``rank`` by a score of 0 to 1, falling, and the key: the rank within a cell of the score after the sizes of the cells above."""
-    cell = F.coalesce(F.floor(score * cells), F.lit(-1)).alias("_cell")
+    """``rank`` by a score of a few units, falling, and the key: the rank within a cell of the score after the sizes of the
+    cells above; without score: last."""
+    cell = F.coalesce(F.floor(score * cells), F.lit(-(2**62))).alias("_cell")
     own = df.select("*", cell)
     above = Window.partitionBy(F.lit(0)).orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = own.groupBy("_cell").count().select("_cell", F.coalesce(F.sum("count").over(above), F.lit(0)).alias("_above"))  # cells + 2 rows at most
+    sizes = own.groupBy("_cell").count().select("_cell", F.coalesce(F.sum("count").over(above), F.lit(0)).alias("_above"))  # as many rows as the range of scores has cells
     inside = F.row_number().over(Window.partitionBy("_cell").orderBy(score.desc(), key))
     return own.withColumn("_in", inside).join(F.broadcast(sizes), "_cell").select(*df.columns, (F.col("_above") + F.col("_in")).cast("int").alias("rank"))
 

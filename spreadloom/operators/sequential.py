@@ -82,9 +82,13 @@ def johansen(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def kpss(s: np.ndarray) -> tuple[float, float]:
-    """Statistic with Newey-West lags 4 (n/100)^(1/4), and its p between 0.01 and 0.10."""
+    """Statistic with the automatic number of Newey-West lags (Hobijn, Franses and Ooms), and its p between 0.01 and 0.10."""
     e = s - s.mean()
-    n, lags = len(s), int(4 * (len(s) / 100) ** 0.25)
+    n = len(s)
+    products = [e @ e / n, *(2 * (e[j:] @ e[:-j]) / n for j in range(1, int(n ** (2 / 9)) + 1))]
+    total = sum(products)
+    share = sum(j * v for j, v in enumerate(products)) / total if total else 0.0
+    lags = min(n - 1, int(1.1447 * (share * share) ** (1 / 3) * n ** (1 / 3)))
     variance = e @ e / n + sum(2 * (1 - j / (lags + 1)) * (e[j:] @ e[:-j]) / n for j in range(1, lags + 1))
     stat = float((np.cumsum(e) ** 2).sum() / (n * n * variance)) if variance > 0 else math.nan
     return stat, float(np.interp(stat, KPSS_LEVELS, KPSS_SHARES))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.functions.columns import label_rank, score_label
 from spreadloom.operators import pairs as p
+from spreadloom.operators.pipelines import ranked as by_cells
 from spreadloom.plans.registry import register
 from spreadloom.sources import panels
 
@@ -41,9 +42,10 @@ def c02_all_pairs(spark, d):
 def c05_as_of(spark, d):
     left = panels.segment_bars(spark, d).select("symbol", "dt")
     right = panels.macro(spark, d).where(F.dayofmonth("dt") <= 7).select("dt", "tax")
-    # The factor is one series for all symbols: given to every symbol, so that each is filled on its own.
-    right = right.join(left.select("symbol").distinct(), how="cross")
-    return p.as_of(left, right, "symbol", "dt", "tax").select("symbol", "dt", F.round("tax", 6).alias("tax"))
+    # The factor is one series for all symbols: looked up once for each date of the calendar.
+    one = F.lit("factor").alias("series")
+    found = p.as_of(left.select(one, "dt").distinct(), right.select(one, "dt", "tax"), "series", "dt", "tax")
+    return left.join(found.select("dt", "tax"), "dt").select("symbol", "dt", F.round("tax", 6).alias("tax"))
 
 
 FOLDS = "(VALUES (1, DATE '1995-01-01', DATE '1997-12-31', DATE '1998-01-15', DATE '1998-06-30'), (2, DATE '1995-01-01', DATE '1998-06-30', DATE '1998-07-15', DATE '1998-12-31'), (3, DATE '1995-01-01', DATE '1998-12-31', DATE '1999-01-15', DATE '1999-06-30'))"
@@ -159,14 +161,11 @@ def j01_pair_metrics(spark, d):
 
 @register(f"""{METRICS}, s AS (SELECT *, greatest(-1, least(2, coalesce(spread_sharpe, 0))) AS rr, coalesce(abs(corr), 0) + CASE WHEN half_life BETWEEN 2 AND 120 THEN 0.5 ELSE 0 END AS sq, CASE WHEN n_obs < 50 THEN 0.5 ELSE 0 END AS pen FROM pm),
 t AS (SELECT *, rr + sq - pen AS score FROM s), l AS (SELECT *, CASE WHEN score >= 2.0 THEN 'A+' WHEN score >= 1.5 THEN 'A' WHEN score >= 1.2 THEN 'A-' WHEN score >= 0.9 THEN 'B+' WHEN score >= 0.6 THEN 'B' WHEN score >= 0.3 THEN 'B-' WHEN score >= 0 THEN 'C' ELSE 'D' END AS pair_label FROM t)
-SELECT pair_id, round(score, 6) AS pair_score, pair_label, (list_position(['D', 'C', 'B-', 'B', 'B+', 'A-', 'A', 'A+'], pair_label) - 1)::INT AS label_rank, coalesce(n_obs >= 24 AND half_life BETWEEN 0.1 AND 120 AND corr < 0.999 AND spread_vol > 1e-8 AND spread_sharpe >= -10, false) AS is_viable, rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, pair_id) AS rank FROM l) WHERE rank <= 20""")
+SELECT pair_id, round(score, 6) AS pair_score, pair_label, (list_position(['D', 'C', 'B-', 'B', 'B+', 'A-', 'A', 'A+'], pair_label) - 1)::INT AS label_rank, coalesce(n_obs >= 24 AND half_life BETWEEN 0.1 AND 120 AND corr < 0.999 AND spread_vol > 1e-8 AND spread_sharpe >= -10, false) AS is_viable, rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, pair_id) AS rank FROM l)""")
 def j02_pair_ranking(spark, d):
-    """The flagship: metrics of all pairs, score, label, viability and the best twenty."""
+    """The flagship: metrics of all pairs, score, label, viability and rank; a caller takes as many as it wants."""
     scored = p.pair_score(p.pair_metrics(pairs_of(spark, d, "week")))
-    top = scored.orderBy(F.round("pair_score", 9).desc(), "pair_id").limit(20)  # a top-k report
-    from pyspark.sql import Window
-
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.round("pair_score", 9).desc(), "pair_id")))  # of twenty rows
+    ranked = by_cells(scored, F.round("pair_score", 9), "pair_id")
     label = score_label("pair_score")
     return ranked.select("pair_id", F.round("pair_score", 6).alias("pair_score"), label.alias("pair_label"), label_rank(label).cast("int").alias("label_rank"), p.is_viable(24, 0.1, 120, min_sharpe=-10.0).alias("is_viable"), "rank")
 

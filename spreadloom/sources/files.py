@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,14 +28,24 @@ def standard_columns(df: DataFrame) -> DataFrame:
     for name, names in ALIASES.items():
         found = next((have[a] for a in names if a in have), None)
         value = F.col(f"`{found}`") if found else F.lit(None)
-        out.append((F.to_date(value.cast("string")) if name == "date" else safe(value.try_cast("double"))).alias(name))
+        out.append((F.try_to_timestamp(value.cast("string")).cast("date") if name == "date" else safe(value.try_cast("double"))).alias(name))
     return df.select(*[c for c in ("symbol", "_file") if c in df.columns], *out)
 
 
+def csv_files(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The CSV files of a path, one DataFrame for each header that occurs: files may differ in the names and the order of
+    their columns. Headers are read by Spark; only their names and the paths reach the driver."""
+    files = spark.read.format("binaryFile").load(path)
+    header = F.trim(F.regexp_replace(F.substring_index(F.decode(F.substring("content", 1, 65536), "utf-8"), "\n", 1), "[\r\ufeff]", ""))
+    groups = files.select("path", header.alias("header")).where("header <> ''").groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
+    return [spark.read.option("header", True).csv(g["paths"]) for g in groups]
+
+
 def csv_bars(spark: SparkSession, path: str) -> DataFrame:
     """Bars of a directory of CSV files, one a symbol; of repeated dates the last in the file stays."""
-    raw = spark.read.option("header", True).csv(path).select("*", F.col("_metadata.file_name").alias("_file"))
-    bars = standard_columns(raw).withColumn("symbol", canonical_symbol(F.regexp_extract("_file", r"([^/]+)\.csv", 1))).drop("_file")
+    parts = [standard_columns(x.select("*", F.col("_metadata.file_name").alias("_file"))) for x in csv_files(spark, path)]
+    raw = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"_file string, {BAR}")
+    bars = raw.withColumn("symbol", canonical_symbol(F.regexp_extract("_file", r"([^/]+)\.csv", 1))).drop("_file")
     placed = bars.withColumn("_at", F.monotonically_increasing_id())  # grows along a file
     return latest(placed.where("date IS NOT NULL"), ["symbol", "date"], [F.col("_at").desc()]).drop("_at")
 
@@ -63,10 +74,14 @@ def parsed_pairs(df: DataFrame, text: str = "pair") -> DataFrame:
 
 def trade_logs(spark: SparkSession, glob: str, aliases: dict[str, Sequence[str]]) -> DataFrame:
     """CSV logs of a glob with their columns under common names."""
-    raw = spark.read.option("header", True).csv(glob)
-    have = {snake(c): c for c in raw.columns}
-    pick = lambda names: next((F.col(f"`{have[n]}`") for n in names if n in have), F.lit(None).cast("string"))
-    return raw.select(*[pick(names).alias(name) for name, names in aliases.items()])
+
+    def folded(raw: DataFrame) -> DataFrame:
+        have = {snake(c): c for c in raw.columns}
+        pick = lambda names: next((F.col(f"`{have[n]}`") for n in names if n in have), F.lit(None).cast("string"))
+        return raw.select(*[pick(names).alias(name) for name, names in aliases.items()])
+
+    parts = [folded(x) for x in csv_files(spark, glob)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ", ".join(f"{name} string" for name in aliases))
 
 
 def with_run(df: DataFrame, run_id: str, section: str, env: str, now: Column | None = None) -> DataFrame:

@@ -53,7 +53,7 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(trade_id, pair, side, pnl, entry, exit_reason): orders as a trade log; pnl against the mean price."""
+    """(trade_id, pair, side, pnl, entry, exit_reason): orders as a trade log; pnl against a price of 250,000."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("pair"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority")
     return orders.join(cust, F.col("o_custkey") == F.col("c_custkey")).select(

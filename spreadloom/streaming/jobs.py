@@ -98,12 +98,7 @@ def corrected(spark, stream: DataFrame, path: str, keys: list[str], checkpoint:
 
     def put(batch: DataFrame, number: int) -> None:
         target = f"{path}/v={number}"
-        try:
-            before = spark.read.parquet(f"{path}/v={number - 1}")
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = batch.limit(0)
+        before = spark.read.parquet(f"{path}/v={number - 1}") if number else batch.limit(0)  # a missing version fails
         upserted(before, batch, keys).write.mode("overwrite").parquet(target)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,6 +11,16 @@ def test_csv_bars_fold_names_and_keep_the_last(spark, tmp_path):
     assert [(r.symbol, r.close, r.open, r.volume) for r in rows] == [("AAA", 1.7, 1.0, 11.0), ("AAA", None, None, 12.0)]
 
 
+def test_files_with_other_headers_and_a_bad_date(spark, tmp_path):
+    (tmp_path / "aaa.csv").write_text("date,open,close\n2024-01-01,1,2\nnot a date,3,4\n")
+    (tmp_path / "bbb.csv").write_text("close,date,open\n7,2024-01-02,6\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = files.csv_bars(spark, str(tmp_path)).collect()
+    assert sorted((r.symbol, str(r.date), r.open, r.close) for r in rows) == [("AAA", "2024-01-01", 1.0, 2.0), ("BBB", "2024-01-02", 6.0, 7.0)]
+    logs = files.trade_logs(spark, str(tmp_path / "*.csv"), {"at": ["date"], "price": ["close"]})
+    assert sorted(map(tuple, logs.collect())) == [("2024-01-01", "2"), ("2024-01-02", "7"), ("not a date", "4")]
+
+
 def test_pair_texts(spark):
     rows = spark.createDataFrame([(t,) for t in ["a/b", "B-A", "c_d", "e/e", "", None, "x", "nan/q"]], "pair string").coalesce(1)
     assert sorted((r.sym_x, r.sym_y) for r in files.parsed_pairs(rows).collect()) == [("A", "B"), ("C", "D")]
