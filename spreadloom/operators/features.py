@@ -177,3 +177,16 @@ def kolmogorov_smirnov(reference: DataFrame, current: DataFrame, x: str, keys: l
 def regression_metrics(df: DataFrame, y: str, p: str, keys: list[str]) -> DataFrame:
     e = F.col(p) - F.col(y)
     return df.groupBy(*keys).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(ratio(e, y))).alias("mape"), F.coalesce(ratio(F.avg(e), F.stddev_pop(e)), F.lit(0.0)).alias("error_sharpe"))
+
+
+def rolling_folds(dates: DataFrame, train: int, test: int, gap: int = 0, step: int | None = None, expanding: bool = False, at: str = "dt") -> DataFrame:
+    """(fold, train_start, train_end, test_start, test_end) over the distinct dates: training on a fixed number of dates or
+    on all before (expanding), a gap (purge and embargo), then the test. Only whole folds. Dates are one calendar."""
+    numbered = dates.select(at).distinct().withColumn("k", F.row_number().over(Window.orderBy(at)) - 1)
+    size, by = train + gap + test, step or test
+    starts = numbered.agg(F.max("k").alias("last")).where(F.col("last") + 1 >= size).select(F.explode(F.sequence(F.lit(0), F.col("last") + 1 - size, F.lit(by))).alias("start"))
+    bounds = {"train_start": F.lit(0) if expanding else F.col("start"), "train_end": F.col("start") + train - 1, "test_start": F.col("start") + train + gap, "test_end": F.col("start") + size - 1}
+    out = starts.select((F.col("start") / by).cast("int").alias("fold"), *[v.cast("int").alias(f"{n}_k") for n, v in bounds.items()])
+    for n in bounds:
+        out = out.join(numbered.select(F.col("k").alias(f"{n}_k"), F.col(at).alias(n)), f"{n}_k")
+    return out.select("fold", *bounds)

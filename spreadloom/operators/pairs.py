@@ -205,3 +205,22 @@ def day_overlap(series: DataFrame, pairs: DataFrame) -> DataFrame:
     days = legs.join(series.select("symbol", "dt"), "symbol").groupBy("pair_id", "dt").agg(F.count_if(F.col("leg") == "x").alias("hx"), F.count_if(F.col("leg") == "y").alias("hy"))
     both = F.count_if((F.col("hx") > 0) & (F.col("hy") > 0))
     return days.groupBy("pair_id").agg(both.alias("n_both"), F.count("*").alias("n_any"), (F.count("*") - both).alias("n_one"), (both / F.count("*")).alias("overlap"))
+
+
+def factor_links(spreads: DataFrame, factors: DataFrame, names: list[str]) -> DataFrame:
+    """(pair_id, factor, n, corr, beta) of changes of a spread against changes of each factor on the same dates. Changes of
+    the factors, one series, are taken once; the join is on the date."""
+    o = Window.orderBy("dt")  # one series of dates
+    moves = factors.select("dt", *[(F.col(c) - F.lag(c).over(o)).alias(c) for c in names])
+    long = moves.unpivot("dt", names, "factor", "move").where("move IS NOT NULL")
+    d = spreads.select("pair_id", "dt", (F.col("spread") - F.lag("spread").over(ordered("pair_id"))).alias("d")).where("d IS NOT NULL")
+    return d.join(long, "dt").groupBy("pair_id", "factor").agg(F.count("*").alias("n"), correlation("d", "move").alias("corr"), slope("d", "move").alias("beta"))
+
+
+def pair_quality(overlaps: DataFrame, correlations: DataFrame, legs: DataFrame, least_overlap: float = 0.5, least_corr: float = 0.2) -> DataFrame:
+    """(pair_id, overlap, corr, n_warnings, status) from day overlaps, correlations and the status of both legs."""
+    of = lambda side: legs.select(F.col("symbol").alias(f"sym_{side}"), F.col("status").alias(f"status_{side}"))
+    j = correlations.join(overlaps, "pair_id", "left").join(of("x"), "sym_x", "left").join(of("y"), "sym_y", "left")
+    rules = [F.coalesce("overlap", F.lit(0.0)) < least_overlap, F.coalesce(F.abs("corr"), F.lit(0.0)) < least_corr, F.coalesce("status_x", F.lit("bad")) == "bad", F.coalesce("status_y", F.lit("bad")) == "bad"]
+    n = sum(r.cast("int") for r in rules)
+    return j.select("pair_id", "overlap", "corr", n.alias("n_warnings"), F.when(n == 0, "ok").when(n == 1, "warn").otherwise("bad").alias("status"))

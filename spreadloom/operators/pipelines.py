@@ -134,13 +134,30 @@ def uncorrelated(df: DataFrame, columns: list[str], bound: float) -> list[str]:
     return [moving[i] for i in kept]
 
 
-def calibrated(df: DataFrame, score: str, label: str) -> DataFrame:
-    """The rows with an isotonic calibration of a score on the rows whose label is known."""
+def calibrated(df: DataFrame, score: str, label: str, fit_on: Column, method: str = "isotonic") -> DataFrame:
+    """The rows where ``fit_on`` doesn't hold, with a calibration of a score, isotonic or sigmoid, that is fitted on the
+    other rows whose label is known."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    known = df.where(F.col(label).isNotNull()).select(F.col(score).cast("double").alias("features"), F.col(label).cast("double").alias("label"))
-    model = IsotonicRegression(isotonic=True).fit(known)
-    return model.transform(df.withColumn("features", F.col(score).cast("double"))).withColumnRenamed("prediction", "calibrated").drop("features")
+    from spreadloom.operators.scoring import vectors
+
+    x, y = F.col(score).cast("double"), F.col(label).cast("double")
+    known, rest = df.where(fit_on & y.isNotNull()), df.where(~F.coalesce(fit_on, F.lit(False)))
+    if method == "isotonic":
+        model = IsotonicRegression(isotonic=True).fit(known.select(x.alias("features"), y.alias("label")))
+        return model.transform(rest.withColumn("features", x)).withColumnRenamed("prediction", "calibrated").drop("features")
+    model = LogisticRegression(maxIter=50).fit(vectors(known.select(x.alias("_x"), y.alias("label")), ["_x"]))
+    scored = model.transform(vectors(rest.withColumn("_x", x), ["_x"]))
+    return scored.select(*df.columns, vector_to_array("probability")[1].alias("calibrated"))
+
+
+def calibration_errors(df: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
+    """(n, brier, ece, mce): mean squared error, and mean and largest gap of probability and share over equal bins."""
+    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))
+    per = df.where(F.col(label).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("m"), F.abs(F.avg(p) - F.avg(label)).alias("gap"), F.sum(F.pow(F.col(p) - F.col(label), 2)).alias("square"))
+    return per.agg(F.sum("m").alias("n"), (F.sum("square") / F.sum("m")).alias("brier"), (F.sum(F.col("m") * F.col("gap")) / F.sum("m")).alias("ece"), F.max("gap").alias("mce"))
 
 
 def importances(df: DataFrame, columns: list[str], label: str) -> DataFrame:

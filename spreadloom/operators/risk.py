@@ -127,3 +127,15 @@ def score_column(parts: dict[str, tuple[Column, float]]) -> Column:
     """Weighted mean of the parts that are present."""
     total = sum(F.when(c.isNotNull(), w).otherwise(0.0) for c, w in parts.values())
     return ratio(sum(F.coalesce(c * w, F.lit(0.0)) for c, w in parts.values()), total)
+
+
+def weight_schemes(stats: DataFrame, target_vol: float, power: float = 1.0, key: str = "symbol") -> DataFrame:
+    """Weights of rows (key, vol, score): equal, by inverse volatility, by score (negative scores count nothing), by
+    conviction (score over volatility), and equal ones scaled to a target volatility of uncorrelated series. Totals are one
+    aggregate, given back to the rows."""
+    good = F.greatest(F.col("score"), F.lit(0.0))
+    parts = {"inverse_vol": 1 / F.col("vol"), "score_tilt": F.pow(good, power), "conviction": good / F.col("vol")}
+    own = stats.where("vol > 0 AND score IS NOT NULL").select(key, "vol", *[v.alias(n) for n, v in parts.items()])
+    totals = own.agg(F.count("*").alias("n"), F.sqrt(F.sum(F.col("vol") ** 2)).alias("all_vol"), *[F.sum(n).alias(f"all_{n}") for n in parts])
+    both = own.crossJoin(F.broadcast(totals))  # one row of totals
+    return both.select(key, (1 / F.col("n")).alias("equal"), *[ratio(n, f"all_{n}").alias(n) for n in parts], (F.lit(target_vol) / F.col("all_vol")).alias("vol_target"))

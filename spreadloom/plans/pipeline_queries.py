@@ -83,7 +83,17 @@ def k11_feature_selection(spark, d):
 
 @register()
 def k14_calibration(spark, d):
-    return pl.calibrated(predictions(spark, d), "p", "y").select("pair", "p", "y", "calibrated")
+    return pl.calibrated(predictions(spark, d), "p", "y", F.pmod(F.xxhash64("pair", "p", "pnl"), F.lit(2)) == 0).select("pair", "p", "y", "calibrated")
+
+
+@register()
+def k14_calibration_quality(spark, d):
+    """Errors of the raw score and of both calibrations on the rows that weren't fitted on."""
+    rows, fit_on = predictions(spark, d), F.pmod(F.xxhash64("pair", "p", "pnl"), F.lit(2)) == 0
+    raw = pl.calibration_errors(rows.where(~fit_on), "p", "y").withColumn("method", F.lit("none"))
+    for method in ("isotonic", "sigmoid"):
+        raw = raw.union(pl.calibration_errors(pl.calibrated(rows, "p", "y", fit_on, method), "calibrated", "y").withColumn("method", F.lit(method)))
+    return raw
 
 
 @register()
