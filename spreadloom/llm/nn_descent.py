@@ -31,7 +31,7 @@ ORDERS, WINDOW = 6, 96
 #: Neighbours that meet at once, and partners each of them may learn of there.
 MEETING, LEARNS = 256, 24
 #: Nodes kept for a query, nodes it goes on from in a step, steps.
-BEAM, WIDTH, STEPS = 96, 32, 4
+BEAM, WIDTH, STEPS = 192, 64, 6
 
 
 def clean_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
