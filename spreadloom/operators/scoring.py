@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions.columns import Col, col, correlation, ordered, ratio
+from spreadloom.operators.tables import cumulated, ranked
 
 
 def validated(metrics: DataFrame, tests: DataFrame, stability: DataFrame, least_n: int = 252, corr: float = 0.6, p: float = 0.1, low: float = 2.0, high: float = 120.0) -> DataFrame:
@@ -72,11 +73,17 @@ def similarity(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
 
 
 def corrected_p(df: DataFrame, p: str, key: str) -> DataFrame:
-    """Bonferroni and Benjamini-Hochberg p-values; the hypotheses of one run are one ordered list."""
-    o = Window.partitionBy(F.lit(0)).orderBy(p, key)
-    ranked = df.select(key, F.col(p).alias("p"), F.row_number().over(o).alias("k"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    return ranked.select(key, "p", F.least(F.lit(1.0), F.col("p") * F.col("n")).alias("bonferroni"), F.least(F.lit(1.0), F.min(F.col("p") * F.col("n") / F.col("k")).over(ahead)).alias("bh"))
+    """Bonferroni and Benjamini-Hochberg p-values. Equal p-values are corrected alike, so the work is on distinct ones: ranks
+    by ranges, and the least from the right within a range and over the ranges to its right."""
+    own = df.select(key, F.col(p).alias("p"))
+    counts = own.groupBy("p").agg(F.count("p").alias("n"))
+    total = counts.agg(F.sum("n").alias("all"))
+    raw = cumulated(counts, "p").crossJoin(F.broadcast(total)).withColumn("raw", F.col("p") * F.col("all") / F.col("upto"))
+    right = Window.partitionBy(F.lit(0)).orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = raw.groupBy("range").agg(F.min("raw").alias("least")).select("range", F.min("least").over(right).alias("beyond"))  # one row a range
+    inside = F.min("raw").over(Window.partitionBy("range").orderBy(F.col("p").desc()))
+    done = raw.join(F.broadcast(beyond), "range").select("p", F.least(F.lit(1.0), F.col("p") * F.col("all")).alias("bonferroni"), F.least(F.lit(1.0), inside, F.col("beyond")).alias("bh"))
+    return own.join(done, "p", "left").select(key, "p", "bonferroni", "bh")
 
 
 def distance_score(v: Col, tolerance: float, most: float, shape: float) -> Column:
@@ -86,9 +93,7 @@ def distance_score(v: Col, tolerance: float, most: float, shape: float) -> Colum
 
 def learned_ranges(df: DataFrame, score: str, params: list[str], top: float, key: str) -> DataFrame:
     """[q25, q75] of each parameter among the best rows by score: the top share, at least ten."""
-    n = df.agg(F.greatest(F.lit(10), F.floor(F.count("*") * top)).alias("most"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col(score).desc(), key)
-    best = df.withColumn("k", F.row_number().over(w)).join(F.broadcast(n)).where("k <= most")
+    best = ranked(df, F.col(score), key).where(F.col("rank") <= F.greatest(F.lit(10), F.floor(F.col("n_ranked") * top)))
     long = best.select(F.inline(F.array(*[F.struct(F.lit(p).alias("param"), F.col(p).cast("double").alias("v")) for p in params])))
     return long.groupBy("param").agg(F.percentile("v", 0.25).alias("low"), F.percentile("v", 0.75).alias("high"))
 

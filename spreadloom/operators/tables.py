@@ -76,6 +76,30 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+def cumulated(counts: DataFrame, value: str, n: str = "n", ranges: int = 64) -> DataFrame:
+    """(value, n) of distinct values with ``upto``, the sum of n of all values up to it, and ``range``, the range of values it
+    is in. A range is one task's window, so no task orders the whole table; bounds of ranges are one row, sums of ranges at
+    most ``ranges`` rows."""
+    cuts = counts.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+    at = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    own = counts.where(F.col(value).isNotNull()).crossJoin(F.broadcast(cuts)).withColumn("range", at).drop("_cuts")
+    sums = own.groupBy("range").agg(F.sum(n).alias("_s"))
+    before = sums.select("range", (F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("_s")).alias("_before"))
+    within = F.sum(n).over(Window.partitionBy("range").orderBy(value))
+    return own.join(F.broadcast(before), "range").withColumn("upto", within + F.col("_before")).drop("_before")
+
+
+def ranked(df: DataFrame, value: Column, key: str) -> DataFrame:
+    """``rank`` of each row by value, the largest first and ties by key, and ``n_ranked``, the number of rows with a value. A
+    row without one has no rank. Only rows of the same value are ordered in one window."""
+    own = df.withColumn("_v", value)
+    counts = own.groupBy("_v").agg(F.count("_v").alias("n"))
+    total = counts.agg(F.sum("n").alias("n_ranked"))
+    places = cumulated(counts, "_v").crossJoin(F.broadcast(total)).select("_v", "n_ranked", (F.col("n_ranked") - F.col("upto")).alias("_above"))
+    tie = F.row_number().over(Window.partitionBy("_v").orderBy(key))
+    return own.join(places, "_v", "left").withColumn("rank", (F.col("_above") + tie).cast("int")).drop("_v", "_above")
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return top_per(df, keys, order, 1).drop("place")
 

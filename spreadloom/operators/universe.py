@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions.columns import clip, correlation, ordered, ratio, slope, so_far, trailing, zscore
+from spreadloom.operators.tables import ranked
 
 
 def signal_table(pairs: DataFrame, n: int, extreme: float = 2.0) -> DataFrame:
@@ -19,9 +20,8 @@ def signal_table(pairs: DataFrame, n: int, extreme: float = 2.0) -> DataFrame:
     z = s.withColumn("z", zscore("spread", w, n))
     last = z.groupBy("pair_id").agg(F.max_by(F.struct("dt", "z", "corr"), "dt").alias("l")).select("pair_id", "l.*").where("z IS NOT NULL")
     scored = last.withColumn("score", F.abs("z") * (0.5 + 0.5 * F.coalesce(F.abs("corr"), F.lit(0.0))))
-    o = Window.partitionBy(F.lit(0)).orderBy(F.round("score", 9).desc(), "pair_id")  # one row a pair
-    top = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy(F.lit(0))) * 0.2))
-    return scored.select("*", F.row_number().over(o).alias("rank"), (F.row_number().over(o) <= top).alias("is_core"), (F.abs("z") >= extreme).alias("is_extreme"))
+    placed = ranked(scored, F.round("score", 9), "pair_id")
+    return placed.withColumn("is_core", F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n_ranked") * 0.2))).withColumn("is_extreme", F.abs("z") >= extreme).drop("n_ranked")
 
 
 def signal_summary(signals: DataFrame) -> DataFrame:
@@ -74,10 +74,18 @@ def regime_probabilities(regimes: DataFrame, labels: Sequence[str], n: int = 5)
     return regimes.select("dt", "regime", *[F.avg((F.col("regime") == x).cast("double")).over(w).alias(f"p_{x}") for x in labels])
 
 
-def profile_anomalies(pairs: DataFrame, distance: str, bound: float) -> DataFrame:
-    """Mean distance of each profile to its peers as a z over all profiles. pairs: (a, b, distance)."""
-    both = pairs.select(F.col("a").alias("id"), distance).union(pairs.select(F.col("b").alias("id"), distance))
-    mean = both.groupBy("id").agg(F.avg(distance).alias("mean_distance"))
+def mean_gaps(profiles: DataFrame, key: str, value: str) -> DataFrame:
+    """(id, mean_distance): mean of |v - other v| over all other profiles, from ranks and sums so far of the ordered values,
+    not from pairs. One row a profile."""
+    o = Window.partitionBy(F.lit(0)).orderBy(value, key).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(F.lit(0))
+    d = profiles.where(F.col(value).isNotNull()).select(F.col(key).alias("id"), F.col(value).alias("v"), F.count("*").over(o).alias("k"), F.sum(value).over(o).alias("low"), F.count("*").over(every).alias("n"), F.sum(value).over(every).alias("all"))
+    gaps = F.col("v") * F.col("k") - F.col("low") + (F.col("all") - F.col("low")) - F.col("v") * (F.col("n") - F.col("k"))
+    return d.select("id", ratio(gaps, F.col("n") - 1).alias("mean_distance"))
+
+
+def profile_anomalies(mean: DataFrame, bound: float) -> DataFrame:
+    """(id, mean_distance) as a z over all profiles, and whether it reaches the bound."""
     w = Window.partitionBy(F.lit(0))
     return mean.withColumn("z", ratio(F.col("mean_distance") - F.avg("mean_distance").over(w), F.stddev_pop("mean_distance").over(w))).withColumn("is_anomaly", F.coalesce(F.col("z") >= bound, F.lit(False)))
 
@@ -96,15 +104,19 @@ def missing_features(df: DataFrame, required: Sequence[str], bound: float) -> Da
     return df.withColumn("missing_share", n / F.lit(float(len(required)))).withColumn("usable", F.col("missing_share") <= bound)
 
 
-def drawdown_attribution(pnl: DataFrame, key: str = "pair") -> DataFrame:
-    """Each member's pnl between peak and trough of the worst drawdown of the total, and its share of the fall.
-    pnl: (key, dt, pnl)."""
+def worst_window(pnl: DataFrame) -> DataFrame:
+    """(peak_dt, trough_dt, depth) of the worst drawdown of the total of (dt, pnl): one row."""
     total = pnl.groupBy("dt").agg(F.sum("pnl").alias("pnl"))
     o = Window.partitionBy(F.lit(0)).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
     path = total.withColumn("cum", F.sum("pnl").over(o)).withColumn("peak", F.max("cum").over(o))
     path = path.withColumn("peak_dt", F.last(F.when(F.col("cum") == F.col("peak"), F.col("dt")), True).over(o))
-    worst = path.agg(F.min_by(F.struct("dt", "peak_dt"), F.struct(F.col("cum") - F.col("peak"), "dt")).alias("w"), F.min(F.col("cum") - F.col("peak")).alias("depth")).select("w.peak_dt", F.col("w.dt").alias("trough_dt"), "depth")
-    inside = pnl.join(F.broadcast(worst), (F.col("dt") > F.col("peak_dt")) & (F.col("dt") <= F.col("trough_dt")))
+    return path.agg(F.min_by(F.struct("dt", "peak_dt"), F.struct(F.col("cum") - F.col("peak"), "dt")).alias("w"), F.min(F.col("cum") - F.col("peak")).alias("depth")).select("w.peak_dt", F.col("w.dt").alias("trough_dt"), "depth")
+
+
+def drawdown_attribution(pnl: DataFrame, key: str = "pair") -> DataFrame:
+    """Each member's pnl between peak and trough of the worst drawdown of the total, and its share of the fall.
+    pnl: (key, dt, pnl)."""
+    inside = pnl.join(F.broadcast(worst_window(pnl)), (F.col("dt") > F.col("peak_dt")) & (F.col("dt") <= F.col("trough_dt")))
     return inside.groupBy(key).agg(F.sum("pnl").alias("pnl"), F.first("depth").alias("depth")).withColumn("share", ratio(F.least("pnl", F.lit(0.0)), "depth")).drop("depth")
 
 
@@ -113,7 +125,7 @@ def opportunities(df: DataFrame, parts: dict[str, float], held: DataFrame, penal
     legs = df.select("pair", F.explode(F.array("leg_x", "leg_y")).alias("symbol")).join(held.select("symbol").distinct(), "symbol", "left_semi").groupBy("pair").agg(F.count("*").alias("overlap"))
     score = sum(w * clip(c, 0.0, 1.0) for c, w in parts.items())
     j = df.join(legs, "pair", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0))).withColumn("score", score - penalty * F.col("overlap")).where(F.col("score") >= floor)
-    return j.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("score", 9).desc(), "pair")))
+    return ranked(j, F.round("score", 9), "pair").drop("n_ranked")
 
 
 def dynamic_limits(state: DataFrame, base: float, key: str) -> DataFrame:

@@ -266,10 +266,11 @@ def f04_dedup_pairs(spark, d):
     return r6(t.deduped_pairs(panels.positions(spark, d), "leg_x", "leg_y", [F.col("notional_x").desc(), F.col("pair")]), "pair_key", "pair", six=["notional_x"], places=4)
 
 
-@register(", k AS (SELECT * FROM trials ORDER BY score DESC, trial_id LIMIT 200) SELECT trial_id, round(sharpe, 6) AS sharpe FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.score >= k.score AND o.sharpe >= k.sharpe AND o.drawdown <= k.drawdown AND (o.score > k.score OR o.sharpe > k.sharpe OR o.drawdown < k.drawdown))")
+@register("SELECT trial_id, round(sharpe, 6) AS sharpe FROM trials k WHERE state = 'COMPLETE' AND NOT EXISTS (SELECT 1 FROM trials o WHERE state = 'COMPLETE' AND o.score >= k.score AND o.sharpe >= k.sharpe AND o.drawdown <= k.drawdown AND (o.score > k.score OR o.sharpe > k.sharpe OR o.drawdown < k.drawdown))")
 def f05_pareto_front(spark, d):
-    top = panels.trials(spark, d).orderBy(F.col("score").desc(), "trial_id").limit(200)  # the front of a top-k
-    return r6(t.pareto_front(top, ["score", "sharpe"], ["drawdown"], "trial_id"), "trial_id", six=["sharpe"])
+    """The front of all finished trials."""
+    done = panels.trials(spark, d).where("state = 'COMPLETE'")
+    return r6(t.pareto_front(done, ["score", "sharpe"], ["drawdown"], "trial_id"), "trial_id", six=["sharpe"])
 
 
 @register("SELECT trial_id, round(sharpe, 6) AS sharpe FROM trials k WHERE NOT EXISTS (SELECT 1 FROM trials o WHERE o.score >= k.score AND o.sharpe >= k.sharpe AND o.drawdown <= k.drawdown AND (o.score > k.score OR o.sharpe > k.sharpe OR o.drawdown < k.drawdown))")

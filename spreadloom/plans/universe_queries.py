@@ -76,9 +76,7 @@ def j21_regime_probabilities(spark, d):
 @register("""SELECT id, round(m, 5) AS mean_distance, round((m - avg(m) OVER ()) / stddev_pop(m) OVER (), 4) AS z, (m - avg(m) OVER ()) / stddev_pop(m) OVER () >= 1.5 AS is_anomaly FROM (SELECT id, avg(g) AS m FROM (SELECT a.symbol AS id, abs(a.p - b.p) AS g FROM (SELECT symbol, avg(close) AS p FROM bars GROUP BY 1) a JOIN (SELECT symbol, avg(close) AS p FROM bars GROUP BY 1) b ON a.symbol <> b.symbol) GROUP BY 1)""")
 def j22_profile_anomalies(spark, d):
     m = panels.bars(spark, d).groupBy("symbol").agg(F.avg("close").alias("p"))
-    x, y = m.select(F.col("symbol").alias("a"), F.col("p").alias("pa")), m.select(F.col("symbol").alias("b"), F.col("p").alias("pb"))
-    pairs = x.join(y, F.col("a") < F.col("b")).select("a", "b", F.abs(F.col("pa") - F.col("pb")).alias("gap"))  # one row a symbol on either side
-    z = u.profile_anomalies(pairs, "gap", 1.5)
+    z = u.profile_anomalies(u.mean_gaps(m, "symbol", "p"), 1.5)
     return z.select("id", F.round("mean_distance", 5).alias("mean_distance"), F.round("z", 4).alias("z"), "is_anomaly")
 
 
