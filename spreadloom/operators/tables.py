@@ -76,6 +76,12 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Written to the session's checkpoint folder, where there is one, so that what reads it twice doesn't compute it twice;
+    without such a folder as it is."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+
 def cumulated(counts: DataFrame, value: str, n: str = "n", ranges: int = 64) -> DataFrame:
     """(value, n) of distinct values with ``upto``, the sum of n of all values up to it, and ``range``, the range of values it
     is in. A range is one task's window, so no task orders the whole table; bounds of ranges are one row, sums of ranges at

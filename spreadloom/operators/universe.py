@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions.columns import clip, correlation, ordered, ratio, slope, so_far, trailing, zscore
-from spreadloom.operators.tables import ranked
+from spreadloom.operators.tables import ranked, settled
 
 
 def signal_table(pairs: DataFrame, n: int, extreme: float = 2.0) -> DataFrame:
@@ -20,7 +20,7 @@ def signal_table(pairs: DataFrame, n: int, extreme: float = 2.0) -> DataFrame:
     z = s.withColumn("z", zscore("spread", w, n))
     last = z.groupBy("pair_id").agg(F.max_by(F.struct("dt", "z", "corr"), "dt").alias("l")).select("pair_id", "l.*").where("z IS NOT NULL")
     scored = last.withColumn("score", F.abs("z") * (0.5 + 0.5 * F.coalesce(F.abs("corr"), F.lit(0.0))))
-    placed = ranked(scored, F.round("score", 9), "pair_id")
+    placed = ranked(settled(scored), F.round("score", 9), "pair_id")
     return placed.withColumn("is_core", F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n_ranked") * 0.2))).withColumn("is_extreme", F.abs("z") >= extreme).drop("n_ranked")
 
 
