@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming_join, hash_tree, nb_svm, nn_descent, packing, quality_rules, token_counts, warc, weak_supervision
+from . import (
+    bpe, filter_audit, hamming_join, hash_tree, nb_svm, nn_descent, packing, pii, quality_rules, source_divergence, token_counts, warc, weak_supervision
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,10 +56,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"), least_docs=3, ranks=200)
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_warc, op2_quality_classifier, op3_bpe, op4_packing, op5_token_counts, op6_quality_rules, op7_nearest_neighbours, op8_toxicity, op9_near_duplicates, op10_sharding)
+    own = (
+        op1_warc, op2_quality_classifier, op3_bpe, op4_packing, op5_token_counts, op6_quality_rules, op7_nearest_neighbours, op8_toxicity,
+        op9_near_duplicates, op10_sharding, op11_personal_data, op12_filter_audit, op13_source_divergence,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.DUCKDB_SQL, "op6_quality_rules": quality_rules.duckdb_sql()}
+    return {
+        "op1_warc": warc.DUCKDB_SQL, "op6_quality_rules": quality_rules.duckdb_sql(), "op12_filter_audit": filter_audit.duckdb_sql(),
+        "op13_source_divergence": source_divergence.duckdb_sql(),
+    }
