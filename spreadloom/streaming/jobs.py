@@ -60,33 +60,33 @@ def suppressed_alerts(alerts: DataFrame, seconds: int, flap_count: int) -> DataF
 
 
 def silences(beats: DataFrame, seconds: int, critical: int, late: str = LATE) -> DataFrame:
-    """Per component of a stream (component, ts): every silence longer than the threshold once it has ended, and a component
-    that is silent still once the watermark is so far past its last beat. State: the last beat and its alarm; a component
-    whose alarm is out leaves the state, so that state doesn't grow with components that are gone."""
-
-    def level(gap: float) -> str:
-        return "CRITICAL" if gap > critical else "WARN"
+    """Per component of a stream (component, ts): every silence longer than the threshold once it has ended; of a component
+    that is silent still, WARN once the watermark is ``seconds`` past its last beat and CRITICAL once it is ``critical``
+    past it. State: the last beat and the alarms given; a critical component leaves the state, so that state doesn't grow
+    with components that are gone."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
+        out, (last, level) = [], state.get if state.exists else (None, 0)
         if state.hasTimedOut:
-            last = pd.Timestamp(state.get[0], unit="us")
-            out.append((*key, last, None, level(seconds + 1)))
+            out.append((*key, pd.Timestamp(last, unit="us"), None, "CRITICAL" if level else "WARN"))
+            level += 1
+        for ts in sorted(t for b in batches for t in b["ts"]) if not state.hasTimedOut else []:
+            at = ts.value // 1000
+            gap = 0.0 if last is None else (at - last) / 1e6
+            if gap > seconds:
+                out.append((*key, pd.Timestamp(last, unit="us"), ts, "CRITICAL" if gap > critical else "WARN"))
+            if last is None or at > last:
+                last, level = at, 0
+        if level > 1:
             state.remove()
         else:
-            last = state.get[0] if state.exists else None
-            for ts in sorted(t for b in batches for t in b["ts"]):
-                at = ts.value // 1000
-                gap = 0.0 if last is None else (at - last) / 1e6
-                if gap > seconds:
-                    out.append((*key, pd.Timestamp(last, unit="us"), ts, level(gap)))
-                last = at if last is None else max(last, at)
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last // 1000 + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+            state.update((last, level))
+            state.setTimeoutTimestamp(max(last // 1000 + 1000 * (critical if level else seconds), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["component", "from_ts", "to_ts", "level"])
 
     timed = beats.select("component", "ts").withWatermark("ts", late)
-    return timed.groupBy("component").applyInPandasWithState(step, "component string, from_ts timestamp, to_ts timestamp, level string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    schema = "component string, from_ts timestamp, to_ts timestamp, level string"
+    return timed.groupBy("component").applyInPandasWithState(step, schema, "last long, level int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def episodes(zs: DataFrame, entry: float, exit_: float, stop: float, max_hold: int) -> DataFrame:

@@ -91,4 +91,4 @@ def test_silences(spark, tmp_path):
     q.awaitTermination()
     got = {(r.component, r.from_ts.minute * 60 + r.from_ts.second, None if r.to_ts is None else (r.to_ts - pd.Timestamp("2024-01-01")).total_seconds(), r.level) for r in spark.table("silences").collect()}
     assert ("a", 20, 150.0, "WARN") in got and ("a", 150, 5000.0, "CRITICAL") in got
-    assert ("b", 30, None, "WARN") in got and len(got) == 3
+    assert ("b", 30, None, "WARN") in got and ("b", 30, None, "CRITICAL") in got and len(got) == 4
