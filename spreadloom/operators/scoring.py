@@ -162,6 +162,22 @@ def trained_scores(data: DataFrame, columns: list[str], label: str, train_end: s
     return out.withColumn("action", F.when(F.col("probability") >= 0.6, "take").when(F.col("probability") <= 0.4, "skip").otherwise("neutral"))
 
 
+def tree_scores(data: DataFrame, columns: list[str], label: str, train_end: str, trees: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
+    """(model, pair_id, dt, probability) of rows after ``train_end`` with all features, by a random forest and by boosted trees
+    of the rows up to it."""
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    end = F.lit(train_end).cast("date")
+    known = vectors(data.where(F.col(label).isNotNull() & (F.col("dt") <= end)), columns).withColumn("label", F.col(label).cast("double"))
+    later = vectors(data.where(F.col("dt") > end).select("pair_id", "dt", *columns), columns)
+    models = {
+        "forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed), "boosting": GBTClassifier(maxIter=trees, maxDepth=depth - 1, seed=seed)
+    }
+    out = [m.fit(known).transform(later).select(F.lit(name).alias("model"), "pair_id", "dt", vector_to_array("probability")[1].alias("probability")) for name, m in models.items()]
+    return out[0].unionByName(out[1])
+
+
 def block_bootstrap(df: DataFrame, r: str, key: str, replicates: int, block: int, seed: int = 42) -> DataFrame:
     """Per series: observed mean and the 5 and 95 % quantiles of means of resampled blocks. Draws are hashes of (series,
     replicate, block place), so that a task run again draws the same."""
