@@ -1,6 +1,8 @@
 """How the words of a source depart from those of its language and of the other sources: ranks of count cells.
 
-Terms are counted by language, source and term; a term and a language have one row with the counts of all its sources.
+Terms are counted by language, source and term, first in each task, as bytes: a term holds no ASCII but letters, so a
+translation of bytes and a split at spaces give the terms. A task holds at most ``MOST`` counts at once and then passes
+them on, Spark adds them up. A term and a language have one row with the counts of all its sources.
 Whatever depends on counts alone is worked out once for a cell, the terms that share their counts:
 
 - terms of a group: cells of (count in the group, count in the language). The value is evaluated for a cell, equal
@@ -20,30 +22,61 @@ pairs of value 0 and no terms; an empty table gives no rows; other columns, what
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, prepare, slices, stored
 
-#: Fixed value: what a term is made of.
+#: Fixed value: what a term is made of, for SQL.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows up to which a table of groups is broadcast.
 FEW = 100_000
 SALTS = 32
+#: Counts that a task holds before it passes them on.
+MOST = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of terms as they are counted, all others as spaces.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+COUNTED = "lang string, source string, term string, n long, docs long"
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs) of batches (lang, source, text in UTF-8): sums over the documents of a task, in parts."""
+    seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def passed_on() -> pa.RecordBatch:
+        columns = [[], [], [], [], []]
+        for (lang, source), (n, docs) in seen.items():
+            columns[0] += [lang] * len(n)
+            columns[1] += [source] * len(n)
+            columns[2] += [term.decode() for term in n]
+            columns[3] += n.values()
+            columns[4] += [docs[term] for term in n]
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2)], ["lang", "source", "term", "n", "docs"])
+
+    for batch in (part for whole in batches for part in slices(whole, 2)):
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+            n, docs = seen.setdefault((lang, source), (Counter(), Counter()))
+            terms = Counter(text.translate(PLAIN).split())
+            n.update(terms)
+            docs.update(terms.keys())
+        if sum(len(n) for n, _ in seen.values()) > MOST:
+            yield passed_on()
+    yield passed_on()
+
+
 def term_counts(docs: DataFrame, least_docs: int, lang: Column, source: Column, text: Column) -> DataFrame:
     """(lang, term, total, counts): terms in at least so many documents of their language; counts is an array of (source,
-    n). A document's own terms are told from their repetitions within it by a second, distinct list."""
-    words = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), 0)
-    marks = F.concat(
-        F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs"))),
-        F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))),
-    )
-    seen = docs.select(lang.alias("lang"), source.alias("source"), words.alias("words")).select("lang", "source", F.inline(marks))
+    n)."""
+    seen = docs.select(lang.alias("lang"), source.alias("source"), text.cast("binary").alias("text")).mapInArrow(counted, COUNTED)
     by_source = seen.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by_lang = by_source.groupBy("lang", "term").agg(
         F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("counts")
@@ -155,6 +188,7 @@ def divergence(
     """(lang, source, part, item, value, rank): the other sources of a group's language by how far the group is from them
     (part ``pair``, all), and the terms it has more of than its language (part ``term``, the first ``ranks``)."""
     lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col, text_col))
+    prepare(docs.sparkSession)
     kept = stored(term_counts(docs, least_docs, lang, source, text), "terms")
     of_group = stored(groups(docs, kept, lang, source), "groups")
     found = pair_values(kept, of_group).unionByName(top_terms(kept, of_group, ranks).withColumn("rank", F.col("rank").cast("long")))
