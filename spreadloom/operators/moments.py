@@ -103,7 +103,7 @@ def distances(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     inverse = solved(moments(df, key, columns), types, invert)
     away = F.transform(F.array(*[F.col(c).cast("double") for c in columns]), lambda v, i: v - F.col("mean")[i])
     joined = whole_rows(df, columns).join(inverse, key).withColumn("_d", away)
-    return joined.select(key, "dt", F.sqrt(F.greatest(quadratic("_d", "inverse", k), F.lit(0.0))).alias("distance"))
+    return joined.select(key, "dt", F.when(F.col("inverse").isNotNull(), F.sqrt(F.greatest(quadratic("_d", "inverse", k), F.lit(0.0)))).alias("distance"))
 
 
 def quadratic(v: str, m: str, k: int) -> Column:
