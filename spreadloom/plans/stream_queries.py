@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from spreadloom.plans.job_queries import SPZ, spread_z
 from spreadloom.plans.registry import register
 from spreadloom.sources import panels
+from spreadloom.sources.shared import fresh_path
+from spreadloom.sources.versioned import VersionedTable
 from spreadloom.streaming import stateful as st
 
 DAY = 86_400
@@ -68,3 +70,16 @@ def n05_episodes(spark, d):
     zs = spread_z(spark, d).select("pair_id", F.col("dt").cast("timestamp").alias("ts"), "z")
     found = st.replayed(zs, ["pair_id"], st.Episode(1.5, 0.5, 3.0, 120 * DAY, 60 * DAY), "2002-06-01 00:00:00", "z")
     return plain(found).withColumn("pnl_z", F.round("pnl_z", 5) + 0.0)
+
+
+@register("""SELECT o_orderkey AS k, CASE WHEN l.v IS NOT NULL THEN 2 WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END::INT AS n, round(CASE WHEN l.v IS NOT NULL THEN l.v WHEN o_orderstatus = 'O' THEN 0 ELSE o_totalprice END, 2) + 0.0 AS v
+FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l_orderkey = o_orderkey""")
+def n07_corrections(spark, d):
+    """Prices of orders under three batches of corrections, of which two come again and one brings older rows."""
+    orders = panels.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("n"), F.col("o_totalprice").cast("double").alias("v"), "o_orderstatus")
+    returned = panels.table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("k")).agg(F.lit(2).alias("n"), F.sum("l_extendedprice").cast("double").alias("v"))
+    opened = orders.where("o_orderstatus = 'O'").select("k", F.lit(1).alias("n"), F.lit(0.0).alias("v"))
+    table = VersionedTable(spark, fresh_path(spark, "corrections"), ["k"], "n", buckets=8)
+    for number, batch in enumerate((orders.drop("o_orderstatus"), returned, opened, opened, returned)):
+        table.apply(batch, min(number, 2))
+    return table.read().withColumn("v", F.round("v", 2) + 0.0)

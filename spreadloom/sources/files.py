@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.functions.columns import canonical_symbol, pair_key, safe
 from spreadloom.operators.tables import latest
+from spreadloom.sources.databases import from_database
 
 BAR = "date date, open double, high double, low double, close double, volume double"
 #: Names under which price columns are found.
@@ -51,7 +52,8 @@ def csv_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def macro_series(spark: SparkSession, uri: str, value: str = "value", lag_days: int = 0) -> DataFrame:
-    """(date, value) by scheme: local://dir of CSV, parquet://path, table:NAME; dates moved by the publication lag."""
+    """(date, value) by scheme: local://dir of CSV, parquet://path, table:NAME, duckdb:FILE|TABLE_OR_QUERY, sqlite: and jdbc:
+    alike; dates moved by the publication lag."""
     scheme, _, rest = uri.partition(":")
     if scheme == "table":
         df = spark.table(rest)
@@ -59,6 +61,8 @@ def macro_series(spark: SparkSession, uri: str, value: str = "value", lag_days:
         df = spark.read.parquet(urlparse(uri).netloc + urlparse(uri).path)
     elif scheme == "local":
         df = spark.read.option("header", True).csv(urlparse(uri).netloc + urlparse(uri).path)
+    elif scheme in ("duckdb", "sqlite", "jdbc"):
+        df = from_database(spark, uri, f"date string, {value} double" if scheme == "sqlite" else None)
     else:
         raise ValueError(f"unknown source {uri}")
     return df.select(F.date_add(F.to_date(F.col("date").cast("string")), lag_days).alias("date"), safe(F.col(value).try_cast("double")).alias("value"))
