@@ -322,15 +322,55 @@ def per_pair(pairs: DataFrame, out: str, f: Callable[[np.ndarray, np.ndarray], d
     return pairs.select("pair_id", "dt", "x", "y").groupBy("pair_id").applyInPandas(run, f"pair_id string, {out}")
 
 
+def distance_sums(v: np.ndarray) -> np.ndarray:
+    """The sum of distances of each value to all others, from sorted running sums."""
+    order = np.argsort(v, kind="stable")
+    s = v[order]
+    before = np.cumsum(s) - s
+    out = np.empty(len(v))
+    k = np.arange(len(v))
+    out[order] = s * k - before + (s.sum() - before - s) - s * (len(v) - 1 - k)
+    return out
+
+
+def distance_products(x: np.ndarray, y: np.ndarray) -> float:
+    """Sum over all pairs of rows of |x - x'| |y - y'|, by merge counting: rows are in order of x, and at each level the rows
+    of a right half meet those of its left half with smaller y as running sums in order of y."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    n, by_y, place = len(x), np.argsort(y, kind="stable"), np.arange(len(x))
+    values = np.column_stack([np.ones(n), x, y, x * y])
+    smaller, w = np.zeros((n, 4)), 1
+    while w < n:
+        block = by_y // (2 * w)
+        at = by_y[np.argsort(block, kind="stable")]  # by block, then y
+        left = (at // w) % 2 == 0
+        sums = np.cumsum(np.where(left[:, None], values[at], 0.0), axis=0)
+        first = np.searchsorted(at // (2 * w), place // (2 * w))  # where a row's block begins
+        base = np.vstack([np.zeros(4), sums])[first[at]]
+        smaller[at[~left]] += (sums - base)[~left]
+        w *= 2
+    every = np.cumsum(values, axis=0) - values
+    meet = lambda s: x * y * s[:, 0] - x * s[:, 2] - y * s[:, 1] + s[:, 3]
+    return float(2 * (2 * meet(smaller) - meet(every)).sum())
+
+
+def distance_covariance(x: np.ndarray, y: np.ndarray) -> float:
+    """Squared distance covariance of rows, from sums; no matrix of pairs."""
+    n, a, b = len(x), distance_sums(x), distance_sums(y)
+    return distance_products(x, y) / n**2 + (a.sum() / n**2) * (b.sum() / n**2) - 2 * float(a @ b) / n**3
+
+
 def distance_correlation(pairs: DataFrame) -> DataFrame:
+    """In time n log^2 n and memory n for a pair of n rows."""
+
     def run(x: np.ndarray, y: np.ndarray) -> dict:
-        centred = []
-        for v in (x, y):
-            d = np.abs(v[:, None] - v[None, :])
-            centred.append(d - d.mean(0) - d.mean(1)[:, None] + d.mean())
-        a, b = centred
-        denominator = math.sqrt((a * a).mean() * (b * b).mean())
-        return {"dcor": math.sqrt(max(0.0, (a * b).mean()) / denominator) if denominator > 0 else None}
+        sx, sy = x.std(), y.std()
+        if not (len(x) > 1 and sx > 0 and sy > 0):
+            return {"dcor": None}
+        x, y = (x - x.mean()) / sx, (y - y.mean()) / sy
+        scale = math.sqrt(max(0.0, distance_covariance(x, x)) * max(0.0, distance_covariance(y, y)))
+        return {"dcor": math.sqrt(max(0.0, distance_covariance(x, y)) / scale) if scale > 0 else None}
 
     return per_pair(pairs, "dcor double", run)
 
@@ -355,19 +395,29 @@ def granger(pairs: DataFrame, lags: int = 2) -> DataFrame:
     return per_pair(pairs, "f_x_to_y double, f_y_to_x double", run)
 
 
+def warped(a: np.ndarray, b: np.ndarray, band: int) -> float:
+    """Distance by dynamic time warping within a band, by anti-diagonals: all cells of one are found at once from the two
+    before."""
+    n, m = len(a), len(b)
+    one, two = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # the diagonals before, at i + 1
+    for s in range(n + m - 1):
+        low, high = max(0, s - m + 1, -((band - s) // 2)), min(n - 1, s, (s + band) // 2)
+        new = np.full(n + 1, np.inf)
+        if low <= high:
+            i = slice(low, high + 1)
+            cost = np.abs(a[i] - b[s - high : s - low + 1][::-1])
+            best = np.minimum(np.minimum(one[i], one[low + 1 : high + 2]), two[i]) if s else 0.0
+            new[low + 1 : high + 2] = cost + best
+        one, two = new, one
+    return float(one[n])
+
+
 def time_warping(pairs: DataFrame, band: int = 10) -> DataFrame:
     """Distance of the standardised legs by dynamic time warping within a band."""
 
     def run(x: np.ndarray, y: np.ndarray) -> dict:
         a, b = ((v - v.mean()) / (v.std() or 1.0) for v in (x, y))
-        before = np.full(len(b) + 1, np.inf)
-        before[0] = 0.0
-        for i in range(1, len(a) + 1):
-            now = np.full(len(b) + 1, np.inf)
-            for j in range(max(1, i - band), min(len(b), i + band) + 1):
-                now[j] = abs(a[i - 1] - b[j - 1]) + min(before[j], now[j - 1], before[j - 1])
-            before = now
-        return {"dtw": float(before[-1])}
+        return {"dtw": warped(a, b, band)}
 
     return per_pair(pairs, "dtw double", run)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions.columns import clip, correlation, full, ordered, ratio, slope, so_far, trailing, whole, zscore
+from spreadloom.operators.order_statistics import rolling_order
 
 
 def rolling_moments(df: DataFrame, x: str, n: int, key: str = "symbol") -> DataFrame:
@@ -118,23 +119,18 @@ def volatility_ratio(df: DataFrame, r: str, short: int, long: int, key: str = "s
 
 def robust_scores(df: DataFrame, x: str, n: int, key: str = "symbol", least: int = 10) -> DataFrame:
     """(x - median) / (IQR / 1.349), and (x - median) / (1.4826 * MAD)."""
-    w = trailing(n, key)
-    median, iqr = F.percentile(x, 0.5).over(w), F.percentile(x, 0.75).over(w) - F.percentile(x, 0.25).over(w)
-    out = df.select("*", median.alias("_m"), iqr.alias("_iqr"), F.collect_list(x).over(w).alias("_frame"))
-    away = F.array_sort(F.transform("_frame", lambda v: F.abs(v - F.col("_m"))))
-    size = F.size("_frame")
-    half = (F.get(away, F.floor((size - 1) / 2).cast("int")) + F.get(away, F.floor(size / 2).cast("int"))) / 2
-    ok = size >= least
-    return out.select("*", F.when(ok & (F.col("_iqr") > 0), (F.col(x) - F.col("_m")) / (F.col("_iqr") / 1.349)).alias("iqr_score"), F.when(ok, ratio(F.col(x) - F.col("_m"), 1.4826 * half)).alias("mad_score")).drop("_m", "_iqr", "_frame")
+    out = rolling_order(df, x, n, {"_low": 0.25, "_high": 0.75}, key)
+    away, iqr, ok = F.col(x) - F.col("median"), F.col("_high") - F.col("_low"), F.col("n_frame") >= least
+    scores = F.when(ok & (iqr > 0), away / (iqr / 1.349)).alias("iqr_score"), F.when(ok, ratio(away, 1.4826 * F.col("mad"))).alias("mad_score")
+    return out.select(*df.columns, *scores)
 
 
 def percentile_rank(df: DataFrame, x: str, n: int, key: str = "symbol") -> DataFrame:
     """Share of the frame at or below the current value, ties counted half, and the frame's 90 % quantile."""
-    w = trailing(n, key)
-    out = df.withColumn("_frame", F.collect_list(x).over(w))
-    below, same = F.size(F.filter("_frame", lambda v: v < F.col(x))), F.size(F.filter("_frame", lambda v: v == F.col(x)))
-    rank = (below + (same + 1) / 2) / F.size("_frame")
-    return out.select("*", full(rank, x, w, n).alias("pct_rank"), full(F.percentile(x, 0.9).over(w), x, w, n).alias("q90")).drop("_frame")
+    out = rolling_order(df, x, n, {"_q": 0.9}, key)
+    rank = (F.col("below") + (F.col("same") + 1) / 2) / F.col("n_frame")
+    whole_frame = F.col("n_frame") >= n
+    return out.select(*df.columns, F.when(whole_frame, rank).alias("pct_rank"), F.when(whole_frame, F.col("_q")).alias("q90"))
 
 
 def autocorrelation(df: DataFrame, x: str, n: int, lag: int = 1, key: str = "symbol") -> DataFrame:

@@ -11,6 +11,7 @@ from spreadloom.operators import risk as r
 from spreadloom.operators import scoring as sc
 from spreadloom.operators import sequential as s
 from spreadloom.operators import windows as w
+from spreadloom.operators.warping import nearest_by_warping
 from spreadloom.plans.job_queries import spread_z
 from spreadloom.plans.pair_queries import PAIRS, RETS, pairs_of
 from spreadloom.plans.registry import register
@@ -282,3 +283,9 @@ SELECT a, b, round(v, 7) + 0.0 AS sample, round(0.9 * v + CASE WHEN a = b THEN 0
 def i24_covariance_variants(spark, d):
     r = w.returns(panels.bars(spark, d, "month")).where("ret IS NOT NULL").select("symbol", "dt", "ret")
     return r6(sc.covariance_variants(r, 0.1, 0.05), "a", "b", six=["sample", "shrunk", "oas", "ridge"], places=7)
+
+
+@register()
+def i19_nearest_by_warping(spark, d):
+    """The nearest partner of every symbol; bounds leave out the pairs that can't be it."""
+    return nearest_by_warping(pairs_of(spark, d), 5)
