@@ -139,9 +139,11 @@ def signal_features(panel: DataFrame, entry: float = 2.0, horizon: int = 5) -> D
         }
     )
     mark = lambda c: F.last(F.when(F.col("entry"), F.col(c)), True).over(now)
-    known = F.filter(F.collect_list(F.when(F.col("entry"), F.struct("place", "gain"))).over(now), lambda e: e["place"] + horizon <= F.col("place"))
+    # Entries are at least two rows apart, so of the entries before one at most (horizon - 1) / 2 have not passed by then.
+    back = [F.expr(f"lag(IF(entry, struct(place, gain), NULL), {k}) IGNORE NULLS OVER (PARTITION BY {KEY} ORDER BY dt)") for k in range(1, 6 + (horizon - 1) // 2)]
+    known = F.filter(F.array(*back), lambda e: e["place"] + horizon <= F.col("place"))
     tagged = base.withColumns({"entry_z": mark("z"), "entry_dt": mark("dt"), "entry_jerk": mark("jerk"), "last_cross": F.last("cross", True).over(now), "turn": F.sum(F.col("entry").cast("int")).over(now)})
-    tagged = tagged.withColumn("failed", F.when(F.col("entry"), F.exists(F.slice(known, F.greatest(F.size(known) - 4, F.lit(1)), 5), lambda e: e["gain"] < 0).cast("int")))
+    tagged = tagged.withColumn("failed", F.when(F.col("entry"), F.exists(F.slice(known, 1, 5), lambda e: F.coalesce(e["gain"] < 0, F.lit(False))).cast("int")))
     turn = so_far((KEY, "turn"))
     features = {
         "z_at_entry": F.col("entry_z"),

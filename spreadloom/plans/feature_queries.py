@@ -112,15 +112,13 @@ def k03_regime_features(spark, d):
 @register(f"""{PANEL}
 , e AS (SELECT *, abs(z) >= 2 AND abs(b) < 2 AS entry, CASE WHEN sign(z) <> sign(b) THEN lag(dt) OVER o END AS crossed, ((z - b) - (lag(z, 3) OVER o - lag(z, 4) OVER o)) / 3 AS jerk, sign(z) * (z - lead(z, 5) OVER o) AS gain
   FROM q WINDOW o AS (PARTITION BY pair_id ORDER BY dt)),
-n AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY dt) AS k FROM e WHERE entry),
-past AS (SELECT a.pair_id, a.dt, b.gain, row_number() OVER (PARTITION BY a.pair_id, a.dt ORDER BY b.k DESC) AS back FROM n a JOIN n b ON a.pair_id = b.pair_id AND b.place + 5 <= a.place),
-failed AS (SELECT n.pair_id, n.dt, coalesce(max(CASE WHEN back <= 5 AND past.gain < 0 THEN 1 ELSE 0 END), 0) AS failed FROM n LEFT JOIN past ON n.pair_id = past.pair_id AND n.dt = past.dt GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER o AS k, [{", ".join(f"struct_pack(p := lag(place, {i}) OVER o, g := lag(gain, {i}) OVER o)" for i in range(1, 8))}] AS past FROM e WHERE entry WINDOW o AS (PARTITION BY pair_id ORDER BY dt)),
 t AS (SELECT e.*, sum(coalesce(entry, false)::INT) OVER u AS turn, last_value(crossed IGNORE NULLS) OVER u AS last_cross FROM e WINDOW u AS (PARTITION BY pair_id ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-m AS (SELECT n.pair_id, n.k AS turn, n.z AS entry_z, n.dt AS entry_dt, n.jerk AS entry_jerk, failed FROM n JOIN failed USING (pair_id, dt)),
-j AS (SELECT t.*, m.* EXCLUDE (pair_id, turn), sum((abs(z) >= 2)::INT) OVER (PARTITION BY t.pair_id, t.turn ORDER BY dt) AS bars FROM t JOIN m ON t.pair_id = m.pair_id AND t.turn = m.turn),
-s AS (SELECT a.pair_id, a.dt, count(b.z) AS n60, count(CASE WHEN abs(b.z) < abs(a.entry_z) THEN 1 END) / 60.0 AS share FROM j a JOIN q b ON a.pair_id = b.pair_id AND b.place BETWEEN a.place - 59 AND a.place GROUP BY 1, 2)
+m AS (SELECT n.pair_id, n.k AS turn, n.z AS entry_z, n.dt AS entry_dt, n.jerk AS entry_jerk, (len(list_filter(list_filter(past, lambda e: e.p + 5 <= place)[1:5], lambda e: e.g < 0)) > 0)::INT AS failed FROM n),
+h AS (SELECT pair_id, dt, list(abs(z)) OVER (PARTITION BY pair_id ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS frame FROM q),
+j AS (SELECT t.*, m.* EXCLUDE (pair_id, turn), sum((abs(z) >= 2)::INT) OVER (PARTITION BY t.pair_id, t.turn ORDER BY dt) AS bars FROM t JOIN m ON t.pair_id = m.pair_id AND t.turn = m.turn)
 SELECT j.pair_id, j.dt, round(entry_z, 5) AS z_at_entry, date_diff('day', entry_dt, j.dt) AS days_since_breach, date_diff('day', last_cross, j.dt) AS days_since_cross, bars::BIGINT AS confirmation_bars, failed::BIGINT AS prior_failed,
-  CASE WHEN n60 = 60 THEN round(share, 5) END AS entry_percentile, round(entry_jerk, 5) + 0.0 AS entry_acceleration FROM j JOIN s USING (pair_id, dt)""")
+  CASE WHEN len(list_filter(frame, lambda v: v IS NOT NULL)) = 60 THEN round(len(list_filter(frame, lambda v: v < abs(entry_z))) / 60.0, 5) END AS entry_percentile, round(entry_jerk, 5) + 0.0 AS entry_acceleration FROM j JOIN h USING (pair_id, dt)""")
 def k04_signal_features(spark, d):
     f = k.signal_features(panel(spark, d))
     return r6(f, "pair_id", "dt", "days_since_breach", "days_since_cross", "confirmation_bars", "prior_failed", six=["z_at_entry", "entry_percentile", "entry_acceleration"], places=5)
