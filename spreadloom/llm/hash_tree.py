@@ -1,10 +1,12 @@
 """Sharding by a hierarchical weighted hash tree, with DataFrame functions only.
 
-A tree has regions, racks and shards with weights. Each shard of a row draws -ln(u) / weight from a hash of the row's
-key and the shard's name; a rack's draw is the least of its shards' draws and a region's the least of its racks', which
-is distributed as one draw with the summed weight. A row descends to the region with the least draw, in it to the rack
-and in that to the shard. A change of weights changes no draw outside the subtrees where it happens, so rows move only
-out of or into these; a new shard takes rows only into itself.
+A tree has regions, racks and shards with weights; a rack weighs what its shards do together, a region what its racks do.
+Each rack of a row draws -ln(u) / weight from a hash of the row's key and the rack's path, and a region's draw is the least
+of its racks', which is distributed as one draw with the region's weight. A row descends to the region with the least
+draw, in it to the rack with the least draw, and in that to the shard with the least of the shards' own draws. A rack's
+draw depends on its weight alone, a shard's on its own: if weights shift inside a rack whose weight stays, rows move only
+inside it; if a rack's weight changes, rows move only from it, into it or inside it. A new shard in a rack of its own takes
+rows only into itself; one in a rack that has others changes that rack's weight, and rows come to all of it.
 
 Slots are numbered in blocks of rows by hash and offset by the counts of the blocks before, so that no shard, however
 large, is numbered by one task. The text isn't shuffled. Defined results: a null text has size 1 and the checksum of
@@ -39,17 +41,28 @@ def draw(key: Column, path: str, weight: float) -> Column:
 
 
 def descend(key: Column, tree: Tree) -> Column:
-    """The shard of a key. At each level the least draw wins; of equal draws the one whose shard number is smaller."""
-    regions = []
+    """The shard of a key. At each level the least draw wins; of equal draws the one that is named first, and of shards the
+    one whose number is smaller. Only the shards of the rack that was reached draw."""
+    regions, reached = [], []
     for r, racks in tree.items():
         of_racks = []
         for k, shards in racks.items():
-            leaves = [F.struct(draw(key, f"{r}/{k}/{s}", w).alias("draw"), F.lit(s).alias("shard")) for s, w in shards.items() if w > 0]
-            if leaves:
-                of_racks.append(leaves[0] if len(leaves) == 1 else F.least(*leaves))
+            alive = {s: w for s, w in shards.items() if w > 0}
+            if alive:
+                place = len(reached)
+                of_racks.append(F.struct(draw(key, f"{r}/{k}", sum(alive.values())).alias("draw"), F.lit(place).alias("place")))
+                leaves = [F.struct(draw(key, f"{r}/{k}/{s}", w).alias("draw"), F.lit(s).alias("shard")) for s, w in alive.items()]
+                reached.append(least(leaves)["shard"] if len(leaves) > 1 else F.lit(next(iter(alive))))
         if of_racks:
-            regions.append(of_racks[0] if len(of_racks) == 1 else F.least(*of_racks))
-    return (regions[0] if len(regions) == 1 else F.least(*regions))["shard"]
+            regions.append(least(of_racks))
+    rack, out = least(regions)["place"], reached[0]
+    for place in range(1, len(reached)):
+        out = F.when(rack == place, reached[place]).otherwise(out)
+    return out
+
+
+def least(draws: list[Column]) -> Column:
+    return draws[0] if len(draws) == 1 else F.least(*draws)
 
 
 def shard(docs: DataFrame, tree: Tree = EIGHT, more: Tree | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

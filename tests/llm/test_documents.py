@@ -129,7 +129,9 @@ def law(doc_id, tree):
     def draw(path):
         return -math.log((int(hashlib.md5(f"{'null' if doc_id is None else doc_id}/{path}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52)
 
-    return min((draw(f"{r}/{k}/{s}") / w, s) for r, racks in tree.items() for k, shards in racks.items() for s, w in shards.items())[1]
+    racks = {(r, k): shards for r, of in tree.items() for k, shards in of.items()}
+    r, k = min(racks, key=lambda at: draw("/".join(at)) / sum(racks[at].values()))
+    return min((draw(f"{r}/{k}/{s}") / w, s) for s, w in racks[r, k].items())[1]
 
 
 def test_sharding(corpus, nothing):
@@ -145,9 +147,25 @@ def test_sharding(corpus, nothing):
     assert hash_tree.shard(nothing).count() == 0
 
 
-def test_a_weight_moves_rows_only_in_its_subtree(spark):
+def moves(spark, region):
+    """(from, to) of the rows that move when the racks of the first region are given other weights."""
     ids = spark.range(3000).selectExpr("id AS doc_id", "'' AS text")
-    heavier = {**hash_tree.EIGHT, "r0": {"a": {0: 2.0, 1: 1.0}, "b": {2: 1.0, 3: 1.0}}}
-    moved = [r for r in hash_tree.shard(ids, hash_tree.EIGHT, heavier).collect() if r["shard"] != r.grown_shard]
-    assert moved and {r.grown_shard for r in moved} == {0}
-    assert abs(len(moved) - 3000 * (2 / 9 - 1 / 8)) < 80
+    rows = hash_tree.shard(ids, hash_tree.EIGHT, {**hash_tree.EIGHT, "r0": region}).collect()
+    return [(r["shard"], r.grown_shard) for r in rows if r["shard"] != r.grown_shard]
+
+
+def test_a_heavier_rack_moves_rows_only_into_itself(spark):
+    moved = moves(spark, {"a": {0: 2.0, 1: 1.0}, "b": {2: 1.0, 3: 1.0}})
+    assert {to for _, to in moved} <= {0, 1} and {a for a, _ in moved} >= {1, 2, 3, 4, 5, 6, 7}
+    arrived = [m for m in moved if m[0] > 1]
+    assert abs(len(arrived) - 3000 * (3 / 9 - 2 / 8)) < 80 and all(m == (1, 0) for m in moved if m[0] < 2)
+
+
+def test_weights_that_shift_inside_a_rack_move_rows_only_inside_it(spark):
+    moved = moves(spark, {"a": {0: 1.5, 1: 0.5}, "b": {2: 1.0, 3: 1.0}})
+    assert {*moved} == {(1, 0)} and abs(len(moved) - 3000 / 4 / 4) < 60
+
+
+def test_a_shard_without_weight_gets_no_rows(spark):
+    moved = moves(spark, {"a": {0: 2.0, 1: 0.0}, "b": {2: 1.0, 3: 1.0}})
+    assert {*moved} == {(1, 0)}
