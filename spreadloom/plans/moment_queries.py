@@ -48,6 +48,13 @@ def i23_rolling_components(spark, d):
 
 
 TRAIN_END = "1999-12-31"
+
+
+def reversion(spark, d):
+    """z features of every pair, and whether a far z falls to a quarter of itself by the next row, as about two thirds do."""
+    return k.z_labels(k.z_features(spread_z(spark, d)), horizon=1, entry=1.0, fraction=0.25)
+
+
 #: Rows of the spread's z up to the end of training: the next change of z, from z and its last change.
 NEXT = f""", zn AS (SELECT pair_id, dt, z, z - lag(z) OVER s AS step, lead(z) OVER s - z AS next FROM zs WINDOW s AS (PARTITION BY pair_id ORDER BY dt)),
 tr AS (SELECT * FROM zn WHERE dt <= DATE '{TRAIN_END}' AND z IS NOT NULL AND step IS NOT NULL AND next IS NOT NULL),
@@ -93,8 +100,7 @@ def k12_ridge_scores(spark, d):
 @register()
 def k12_tree_scores(spark, d):
     """Random forest and boosted trees on z features of every pair, trained on the past, scored on the rest."""
-    data = k.z_labels(k.z_features(spread_z(spark, d)), horizon=6, entry=1.0)
-    return sc.tree_scores(data, ["z_abs", "z_mean", "z_std", "z_ar1"], "reverts", TRAIN_END)
+    return sc.tree_scores(reversion(spark, d), ["z_abs", "z_mean", "z_std", "z_ar1"], "reverts", TRAIN_END)
 
 
 IMPORTANCE = ["z_abs", "z_std", "z_mom"]
@@ -110,9 +116,9 @@ P = "1 / (1 + exp(-(1.2 * {a} - 1.5 * {s} - 0.3 * {m} - 0.4)))"
 
 @register(f"""{SPZ}, b AS (SELECT *, lag(z, 5) OVER s AS b5 FROM zs WINDOW s AS (PARTITION BY pair_id ORDER BY dt)),
 f AS (SELECT pair_id, dt, z, abs(z) AS z_abs, CASE WHEN count(z) OVER v = 20 THEN stddev_samp(z) OVER v END AS z_std, z - b5 AS z_mom,
-  count(z) OVER w AS n, min(z) OVER w AS lo, max(z) OVER w AS hi, lead(z, 6) OVER (PARTITION BY pair_id ORDER BY dt) AS e FROM b
-  WINDOW v AS (PARTITION BY pair_id ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w AS (PARTITION BY pair_id ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)),
-y AS MATERIALIZED (SELECT pair_id, dt, z_abs AS a, z_std AS s, z_mom AS m, (CASE WHEN z > 0 THEN lo ELSE -hi END <= 0.5 * abs(z))::INT::DOUBLE AS y FROM f WHERE abs(z) >= 1.0 AND n = 6 AND z_std IS NOT NULL AND z_mom IS NOT NULL),
+  count(z) OVER w AS n, min(z) OVER w AS lo, max(z) OVER w AS hi FROM b
+  WINDOW v AS (PARTITION BY pair_id ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w AS (PARTITION BY pair_id ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)),
+y AS MATERIALIZED (SELECT pair_id, dt, z_abs AS a, z_std AS s, z_mom AS m, (CASE WHEN z > 0 THEN lo ELSE -hi END <= 0.25 * abs(z))::INT::DOUBLE AS y FROM f WHERE abs(z) >= 1.0 AND n = 1 AND z_std IS NOT NULL AND z_mom IS NOT NULL),
 t AS (SELECT y.*, rep, row_number() OVER (PARTITION BY rep ORDER BY md5((42 + rep) || '/to/' || pair_id || '/' || dt), pair_id, dt) AS i, row_number() OVER (PARTITION BY rep ORDER BY md5((42 + rep) || '/from/' || pair_id || '/' || dt), pair_id, dt) AS j
   FROM y, (SELECT unnest(range(5)) AS rep)),
 o AS (SELECT t.y, t.a, t.s, t.m, t.rep, g.a AS oa, g.s AS os, g.m AS om FROM t JOIN t g ON g.rep = t.rep AND g.j = t.i),
@@ -123,6 +129,5 @@ SELECT feature, round(max(accuracy), 6) + 0.0 AS accuracy, round(max(brier), 6)
   round(avg(b - brier), 6) + 0.0 AS brier_rise, round(stddev_samp(b - brier), 6) + 0.0 AS brier_sd FROM r, w GROUP BY 1""", "month")
 def k18_permutation_importance(spark, d):
     """Drops of a stated score of reversion when its features are permuted, five times."""
-    data = k.z_labels(k.z_features(spread_z(spark, d)), horizon=6, entry=1.0)
-    found = imp.permutation_importance(data, ["pair_id", "dt"], IMPORTANCE, "reverts", stated_score, 5)
+    found = imp.permutation_importance(reversion(spark, d), ["pair_id", "dt"], IMPORTANCE, "reverts", stated_score, 5)
     return r6(found, "feature", six=["accuracy", "brier", "accuracy_drop", "accuracy_sd", "brier_rise", "brier_sd"])

@@ -98,7 +98,7 @@ def k14_calibration_quality(spark, d):
 
 @register()
 def k18_importance(spark, d):
-    data = k.z_labels(k.z_features(spread_z(spark, d)), horizon=6, entry=1.0)
+    data = k.z_labels(k.z_features(spread_z(spark, d)), horizon=1, entry=1.0, fraction=0.25)
     return pl.importances(data, ["z_abs", "z_mean", "z_std", "z_ar1"], "reverts")
 
 

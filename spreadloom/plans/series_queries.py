@@ -12,7 +12,7 @@ from spreadloom.operators import scoring as sc
 from spreadloom.operators import sequential as s
 from spreadloom.operators import windows as w
 from spreadloom.operators.warping import nearest_by_warping
-from spreadloom.plans.job_queries import spread_z
+from spreadloom.plans.job_queries import SPZ, spread_z
 from spreadloom.plans.pair_queries import PAIRS, RETS, pairs_of
 from spreadloom.plans.registry import register
 from spreadloom.plans.table_queries import r6
@@ -70,9 +70,15 @@ def e20_rolling_entropy(spark, d):
     return r6(s.rolling_entropy(w.returns(panels.bars(spark, d)), "log_ret", 40).replace(float("nan"), None), "symbol", "dt", six=["entropy"])
 
 
-@register()
+@register(f"""{SPZ}, t AS MATERIALIZED (SELECT pair_id, dt, z, row_number() OVER (PARTITION BY pair_id ORDER BY dt) AS k FROM zs WHERE z IS NOT NULL),
+w AS (SELECT pair_id, NULL::DATE AS dt, 0::BIGINT AS k, 0 AS dir, 0 AS held, 0.0::DOUBLE AS ez, NULL::VARCHAR AS event, 0 AS direction, 0.0::DOUBLE AS pnl_z FROM t WHERE k = 1 UNION ALL
+  SELECT pair_id, dt, k, CASE WHEN opens THEN -sign(z)::INT WHEN why IS NOT NULL THEN 0 ELSE dir END, CASE WHEN dir = 0 OR why IS NOT NULL THEN 0 ELSE held + 1 END, CASE WHEN opens THEN z ELSE ez END,
+    CASE WHEN opens THEN 'OPEN' ELSE why END, CASE WHEN opens THEN -sign(z)::INT ELSE dir END, CASE WHEN opens THEN 0 ELSE dir * (z - ez) END
+  FROM (SELECT t.pair_id, t.dt, t.k, t.z, w.dir, w.held, w.ez, w.dir = 0 AND abs(t.z) >= 1.5 AND abs(t.z) < 4 AS opens,
+      CASE WHEN w.dir <> 0 THEN CASE WHEN abs(t.z) >= 4 THEN 'STOP' WHEN abs(t.z) <= 0.5 THEN 'EXIT' WHEN w.held + 1 >= 12 THEN 'TIME' END END AS why FROM w JOIN t ON t.pair_id = w.pair_id AND t.k = w.k + 1))
+SELECT pair_id, dt, event, direction, round(pnl_z, 5) + 0.0 AS pnl_z FROM w WHERE event IS NOT NULL""", "month", recursive=True)
 def e27_trade_episodes(spark, d):
-    return s.trade_episodes(spread_z(spark, d), 1.5, 0.5, 4.0, 12)
+    return r6(s.trade_episodes(spread_z(spark, d), 1.5, 0.5, 4.0, 12), "pair_id", "dt", "event", "direction", six=["pnl_z"], places=5)
 
 
 @register(f"{ZSQL} SELECT symbol, count(*) AS n, round(quantile_cont(abs(z), 0.9), 6) AS entry, round(quantile_cont(abs(z), 0.3), 6) AS exit FROM zz WHERE z IS NOT NULL GROUP BY 1")
@@ -221,9 +227,17 @@ def i28_quality_score(spark, d):
     return per.select("symbol", F.round(total, 6).alias("mr_score"), F.when(total >= 0.6, "good").otherwise("poor").alias("grade"))
 
 
-@register()
+#: Correlation of a and b without what c and d share with them, by the correlations r of names.
+PARTIAL = """, l AS (SELECT dt, unnest(['discount', 'tax', 'returned', 'quantity']) AS f, unnest([1, 2, 3, 4]) AS i, unnest([discount, tax, returned, quantity]) AS v FROM macro),
+r AS (SELECT a.i AS a, b.i AS b, corr(a.v, b.v) AS r FROM l a JOIN l b ON a.dt = b.dt WHERE a.i <> b.i GROUP BY 1, 2),
+p AS (SELECT x.a, x.b, y.b AS c, (x.r - y.r * z.r) / sqrt((1 - y.r * y.r) * (1 - z.r * z.r)) AS r FROM r x JOIN r y ON y.a = x.a AND y.b <> x.b JOIN r z ON z.a = x.b AND z.b = y.b),
+q AS (SELECT x.a, x.b, (x.r - y.r * z.r) / sqrt((1 - y.r * y.r) * (1 - z.r * z.r)) AS r, x.c FROM p x JOIN p y ON y.a = x.a AND y.c = x.c AND y.b NOT IN (x.a, x.b, x.c) JOIN p z ON z.a = x.b AND z.c = x.c AND z.b = y.b),
+n AS (SELECT DISTINCT i, f FROM l)"""
+
+
+@register(f"{PARTIAL} SELECT x.f AS a, y.f AS b, round(avg(r), 5) + 0.0 AS partial FROM q JOIN n x ON x.i = q.a JOIN n y ON y.i = q.b WHERE q.a < q.b GROUP BY 1, 2")
 def i17_partial_correlation(spark, d):
-    return sc.partial_correlations(panels.macro(spark, d), ["discount", "tax", "returned", "quantity"])
+    return r6(sc.partial_correlations(panels.macro(spark, d), ["discount", "tax", "returned", "quantity"]), "a", "b", six=["partial"], places=5)
 
 
 @register()
@@ -241,7 +255,7 @@ def k12_model_scores(spark, d):
     """A logistic model on z features of every pair, trained on the past, scored on the rest."""
     from spreadloom.operators import features as k
 
-    data = k.z_labels(k.z_features(spread_z(spark, d)), horizon=6, entry=1.0)
+    data = k.z_labels(k.z_features(spread_z(spark, d)), horizon=1, entry=1.0, fraction=0.25)
     return sc.trained_scores(data, ["z_abs", "z_mean", "z_std", "z_ar1"], "reverts", "1999-12-31")
 
 
