@@ -22,6 +22,8 @@ SAMPLE = 20_000
 BINS = 1 << 18
 #: Lengths of the stems of a word.
 STEMS = (3, 4, 5, 6, 7)
+#: Words that a stem needs in a text of any length, and words of a text a word for which two or more are enough.
+ENOUGH, DENSE = 6, 250
 REPEATED = 0xFFFF
 #: From the first letter of a word to its last.
 LETTERS = re.compile(r"[^\W\d_](?:.*[^\W\d_])?", re.DOTALL)
@@ -109,15 +111,16 @@ def ngrams(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def stem_indicators(texts: list[str] | pa.Array, known: np.ndarray | None = None) -> list[np.ndarray]:
-    """Of each text its distinct hashed words, and stems that at least two words and one in 250 words begin with; if
-    ``known`` is given, only the features it marks, whose counts alone are then taken."""
+    """Of each text its distinct hashed words, and stems that enough words begin with: ``ENOUGH`` in any text, two in a text
+    of up to ``DENSE`` words a word. So what follows a passage never takes away a stem that it holds ``ENOUGH`` times; fewer
+    are chance in a long text. If ``known`` is given, only the features it marks, whose counts alone are then taken."""
     out = []
     for at, rows in coded(texts, word_and_stems):
         use = rows >= 0
         if known is not None:
             use &= known[rows]
         stems, n = np.unique(rows[:, 1:][use[:, 1:]], return_counts=True)
-        stems = stems[(n >= 2) & (250 * n >= len(at))]
+        stems = stems[(n >= ENOUGH) | (n >= 2) & (DENSE * n >= len(at))]
         out.append(np.concatenate([np.unique(rows[:, 0][use[:, 0]]), stems]))
     return out
 

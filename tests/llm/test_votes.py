@@ -40,3 +40,11 @@ def test_with_labels_the_sample_has_the_votes_of_patterns(spark, phrases):
 
 def test_the_shape_is_of_the_whole_word():
     assert fx.shape("a" * 70 + "9" * 70 + "B/") == "x9X/"
+
+
+def test_what_follows_a_passage_takes_no_stem_of_it_away():
+    clean = [f"q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(6000)]
+    stem = fx.word_and_stems(["zorkab"])[0, 1 + fx.STEMS.index(4)]
+    for toxic, rest, kept in ((["zorkab", "zorked", "zorkum"] * 6, 6000, True), (["zorkab", "zorked"] * 3, 6000, True), (["zorkab", "zorked"], 400, True), (["zorkab", "zorked"], 6000, False)):
+        alone, followed = (fx.stem_indicators([" ".join(t)])[0] for t in (toxic, toxic + clean[:rest]))
+        assert stem in alone and (stem in followed) == kept and (not kept or {*alone} <= {*followed})
