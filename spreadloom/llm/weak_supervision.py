@@ -8,10 +8,9 @@ correlations to others within the classes. A logistic model on hashed words and
 labels of the sample, and calibrated on a fifth of the sample that is kept apart from its training. Vote patterns are
 counted before anything is gathered; each step of the estimation is an aggregate.
 
-Defined results: a null or empty text has no votes and a score; a very long text is read whole, and a
-stem counts in it where ``features.ENOUGH`` words have it; without labels only the
-lexicon and patterns vote, and a sample of documents, bounded as that of labels, is learned from; an empty table gives
-no rows; repeated rows each keep a row; columns beside the id and the text are not read, and may have any name.
+Defined results: a null or empty text has no votes and a score; a very long text is read whole, and a stem counts in it
+where ``features.ENOUGH`` words have it; without labels only the lexicon and patterns vote, and a sample of documents,
+bounded as that of labels, is learned from; an empty table gives no rows; repeated rows each keep a row; columns beside the id and the text are not read, and may have any name.
 """
 
 from __future__ import annotations
