@@ -71,13 +71,14 @@ c AS (SELECT *, CASE WHEN count(*) OVER a = 12 THEN corr(rx, ry) OVER a END AS c
 u AS (SELECT *, (cs - avg(cs) OVER w) / stddev_samp(cs) OVER w AS u FROM c WINDOW w AS (PARTITION BY pair_id)),
 p AS (SELECT *, sum(u) OVER (PARTITION BY pair_id ORDER BY dt) AS path FROM u),
 o AS (SELECT pair_id, count(*) AS n, max(CASE WHEN age = 0 THEN cs END) AS s, max(CASE WHEN age = 12 THEN cs END) AS b, avg(cl) AS l, stddev_samp(cs) AS sd, count(cs) AS m, max(path) - min(path) AS cu, max(CASE WHEN age = 0 THEN u END) AS away, max(CASE WHEN age = 0 THEN cm END) AS mid,
-  sum(h) AS h, sum(h * rx) AS hx, sum(h * ry) AS hy, sum(h * rx * ry) AS hxy, sum(h * rx * rx) AS hxx, sum(h * ry * ry) AS hyy FROM (SELECT *, pow(0.5, age / 12.0) AS h FROM p) GROUP BY 1 HAVING count(*) >= 60),
+  sum(h) AS h, sum(h * rx) AS hx, sum(h * ry) AS hy, sum(h * rx * ry) AS hxy, sum(h * rx * rx) AS hxx, sum(h * ry * ry) AS hyy FROM (SELECT *, pow(0.5, age / 12.0) AS h FROM p) GROUP BY 1),
+k AS (SELECT * REPLACE (CASE WHEN n >= 60 THEN s END AS s, CASE WHEN n >= 60 THEN b END AS b, CASE WHEN n >= 60 THEN mid END AS mid, CASE WHEN n >= 60 THEN l END AS l, CASE WHEN n >= 60 THEN cu END AS cu, CASE WHEN n >= 60 THEN away END AS away, CASE WHEN n >= 60 THEN hxy END AS hxy) FROM o),
 d AS (SELECT *, (hxy / h - hx / h * hy / h) / sqrt((hxx / h - (hx / h) ** 2) * (hyy / h - (hy / h) ** 2)) AS e, CASE WHEN s - mid < -0.15 THEN 'FALLING' WHEN s - mid > 0.15 THEN 'RISING' WHEN s < 0.3 THEN 'BROKEN' ELSE 'STABLE' END AS trend, (l - s) / (sd + 1e-8) AS dis, CASE WHEN s - b > 0.05 THEN 'repairing' WHEN s - b < -0.05 THEN 'widening' ELSE 'stable' END AS direction,
-  CASE WHEN abs(away) > 3 THEN 'CRITICAL' WHEN abs(away) > 2 OR cu / sqrt(m) > 2 THEN 'MAJOR' WHEN cu / sqrt(m) > 1 THEN 'MINOR' ELSE 'NONE' END AS severity FROM o)
-SELECT pair_id, n, direction, severity, trend, greatest(0, least(1, dis / 4)) > 0.4 AND l > 0.0 AND direction <> 'widening' AS repair_likely, round(s, 6) + 0.0 AS short_corr, round(b, 6) + 0.0 AS before, round(mid, 6) + 0.0 AS mid_corr, round(l, 6) + 0.0 AS long_corr, round(e, 6) + 0.0 AS ewma_corr,
-  round(dis, 5) + 0.0 AS dislocation, round(greatest(0, least(1, dis / 4)), 5) + 0.0 AS score, round(cu, 5) + 0.0 AS cusum,
-  round(greatest(0, 1.0 - CASE severity WHEN 'CRITICAL' THEN 0.5 WHEN 'MAJOR' THEN 0.3 WHEN 'MINOR' THEN 0.1 ELSE 0 END - CASE WHEN s < 0.3 THEN 0.3 WHEN s < 0.5 THEN 0.15 ELSE 0 END
-    - CASE trend WHEN 'BROKEN' THEN 0.2 WHEN 'FALLING' THEN 0.1 ELSE 0 END), 5)::DOUBLE + 0.0 AS health,
+  CASE WHEN abs(away) > 3 THEN 'CRITICAL' WHEN abs(away) > 2 OR cu / sqrt(m) > 2 THEN 'MAJOR' WHEN cu / sqrt(m) > 1 THEN 'MINOR' ELSE 'NONE' END AS severity FROM k)
+SELECT pair_id, n, direction, severity, trend, coalesce(greatest(0, least(1, coalesce(dis, 0) / 4)) > 0.4 AND l > 0.0 AND direction <> 'widening', false) AS repair_likely, round(s, 6) + 0.0 AS short_corr, round(b, 6) + 0.0 AS before, round(mid, 6) + 0.0 AS mid_corr, round(l, 6) + 0.0 AS long_corr, round(e, 6) + 0.0 AS ewma_corr,
+  round(dis, 5) + 0.0 AS dislocation, round(greatest(0, least(1, coalesce(dis, 0) / 4)), 5) + 0.0 AS score, round(cu, 5) + 0.0 AS cusum,
+  round(CASE WHEN s IS NULL THEN 0.3 ELSE greatest(0, 1.0 - CASE severity WHEN 'CRITICAL' THEN 0.5 WHEN 'MAJOR' THEN 0.3 WHEN 'MINOR' THEN 0.1 ELSE 0 END - CASE WHEN s < 0.3 THEN 0.3 WHEN s < 0.5 THEN 0.15 ELSE 0 END
+    - CASE trend WHEN 'BROKEN' THEN 0.2 WHEN 'FALLING' THEN 0.1 ELSE 0 END) END, 5)::DOUBLE + 0.0 AS health,
   CASE WHEN severity = 'CRITICAL' THEN 'EXIT' WHEN severity = 'MAJOR' THEN 'REDUCE' WHEN s < 0.3 THEN 'MONITOR' ELSE 'HOLD' END AS action FROM d""", "month")
 def i13_correlation_state(spark, d):
     """Dislocation, break, health and action of the correlation of every pair."""
