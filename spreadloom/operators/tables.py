@@ -102,7 +102,8 @@ def ranked(df: DataFrame, value: Column, key: str) -> DataFrame:
     counts = own.groupBy("_v").agg(F.count("_v").alias("n"))
     total = counts.agg(F.sum("n").alias("n_ranked"))
     places = cumulated(counts, "_v").crossJoin(F.broadcast(total)).select("_v", "n_ranked", (F.col("n_ranked") - F.col("upto")).alias("_above"))
-    tie = F.row_number().over(Window.partitionBy("_v").orderBy(key))
+    apart = F.when(F.col("_v").isNull(), F.pmod(F.xxhash64(key), F.lit(1024)))  # rows without a value have no rank: not one task
+    tie = F.row_number().over(Window.partitionBy("_v", apart).orderBy(key))
     return own.join(places, "_v", "left").withColumn("rank", (F.col("_above") + tie).cast("int")).drop("_v", "_above")
 
 

@@ -52,11 +52,17 @@ def _percentile(c: str, key: Sequence[str], low_is_good: bool) -> Column:
 
 def risk_overlay(df: DataFrame, score: str, risks: dict[str, float], most: float = 20.0) -> DataFrame:
     """Score less a penalty of 0 to ``most``: weighted robust z of the risks, not below zero, rescaled over the panel."""
-    w = Window.partitionBy(F.lit(0))
-    z = lambda c: F.greatest(F.lit(0.0), F.coalesce(ratio(F.col(c) - F.percentile(c, 0.5).over(w), (F.percentile(c, 0.75).over(w) - F.percentile(c, 0.25).over(w)) / 1.349), F.lit(0.0)))
-    raw = df.withColumn("_raw", sum(weight * z(c) for c, weight in risks.items()))
-    lo, hi = F.min("_raw").over(w), F.max("_raw").over(w)
-    return raw.withColumn("penalty", F.when(hi > lo, most * (F.col("_raw") - lo) / (hi - lo)).otherwise(0.0)).withColumn("adjusted", clip(F.col(score) - F.col("penalty"), 0.0, 100.0)).drop("_raw")
+    marks = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(f"_of_{c}") for c in risks])  # one row
+
+    def z(c: str) -> Column:
+        low, middle, high = (F.col(f"_of_{c}")[i] for i in range(3))
+        return F.greatest(F.lit(0.0), F.coalesce(ratio(F.col(c) - middle, (high - low) / 1.349), F.lit(0.0)))
+
+    raw = df.crossJoin(F.broadcast(marks)).select(*df.columns, sum(weight * z(c) for c, weight in risks.items()).alias("_raw"))
+    ends = raw.agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    scaled = raw.crossJoin(F.broadcast(ends)).withColumn("penalty", F.when(hi > lo, most * (F.col("_raw") - lo) / (hi - lo)).otherwise(0.0))
+    return scaled.withColumn("adjusted", clip(F.col(score) - F.col("penalty"), 0.0, 100.0)).drop("_raw", "_lo", "_hi")
 
 
 def macro_adjusted(pairs: DataFrame, regimes: DataFrame, multipliers: dict[str, float], enter: float, leave: float, key: str = "pair_id") -> DataFrame:
