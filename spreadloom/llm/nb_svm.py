@@ -78,14 +78,15 @@ def fit(labels: np.ndarray, rows: list[np.ndarray]) -> Model:
     return model._replace(a=a, b=b)
 
 
-def learned(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    sample = fx.labelled_sample(labels, label, FOLDS, HELD_OUT)
-    found = fx.fitted(fx.sample_features(docs, sample, fx.ngram_indicators), fit)
+def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model of the labelled documents outside the held-out fold; the id is named alike in both tables."""
+    sample = fx.labelled_sample(labels, label, FOLDS, HELD_OUT, id_col)
+    found = fx.fitted(fx.sample_features(docs, sample, fx.ngram_indicators, id_col, text_col), fit)
     return found or Model(np.zeros(2 * fx.BINS, np.float32), 0.0, 1.0, 0.0)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    model = learned(docs, labels)
+    model = learned(docs, labels, id_col=id_col, text_col=text_col)
     return fx.scored(docs, model.score, FOLDS, HELD_OUT, THRESHOLD, id_col, text_col)
 
 
