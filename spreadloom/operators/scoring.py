@@ -13,8 +13,9 @@ from spreadloom.functions.columns import Col, col, correlation, ordered, ratio
 from spreadloom.operators.tables import cumulated, ranked
 
 
-def validated(metrics: DataFrame, tests: DataFrame, stability: DataFrame, least_n: int = 252, corr: float = 0.6, p: float = 0.1, low: float = 2.0, high: float = 120.0) -> DataFrame:
-    """FAIL if a hard test fails, WARN if a soft one, else PASS; a missing p-value passes and is counted."""
+def validated(metrics: DataFrame, tests: DataFrame, stability: DataFrame, least_n: int = 252, corr: float = 0.6, p: float = 0.1, low: float = 2.0, high: float = 120.0, ratios: DataFrame | None = None) -> DataFrame:
+    """FAIL if a hard test fails, WARN if a soft one, else PASS; a missing p-value passes and is counted. With ``ratios``
+    (pair_id, vr), a variance ratio of 1 or more, which is no mean reversion, is a soft failure; a missing one passes."""
     c = F.col
     j = metrics.join(tests.drop("n"), "pair_id").join(stability, "pair_id", "left")
     rules = [
@@ -22,7 +23,10 @@ def validated(metrics: DataFrame, tests: DataFrame, stability: DataFrame, least_
         ("history", True, c("n_obs") >= least_n, c("n_obs").cast("double")), ("spread_sd", True, c("spread_vol") >= 1e-8, c("spread_vol")), ("hurst", False, c("hurst") <= 0.45, c("hurst")), ("stability", False, c("stability") >= 0.6, c("stability")),
         ("kpss", False, c("kpss_p") > 0.05, c("kpss_p")), ("johansen", False, c("johansen_ok"), c("trace0")),
     ]
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(ok, F.lit(n in ("adf", "engle_granger"))).alias("passed"), F.lit(h).alias("is_hard"), v.alias("value")) for n, h, ok, v in rules])
+    if ratios is not None:
+        j = j.join(ratios.select("pair_id", "vr"), "pair_id", "left")
+        rules.append(("variance_ratio", False, c("vr") < 1, c("vr")))
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(ok, F.lit(n in ("adf", "engle_granger", "variance_ratio"))).alias("passed"), F.lit(h).alias("is_hard"), v.alias("value")) for n, h, ok, v in rules])
     out = j.select("pair_id", rows.alias("tests"), sum(v.isNull().cast("int") for _, _, _, v in rules).alias("n_tests_missing"))
     failed = lambda hard: F.size(F.filter("tests", lambda t: ~t["passed"] & (t["is_hard"] == hard)))
     return out.withColumn("verdict", F.when(failed(True) > 0, "FAIL").when(failed(False) > 0, "WARN").otherwise("PASS"))

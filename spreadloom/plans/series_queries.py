@@ -115,7 +115,8 @@ def i09_kalman_hedge(spark, d):
 @register()
 def i10_validation_verdict(spark, d):
     pairs = pairs_of(spark, d)
-    return sc.validated(p.pair_metrics(pairs), s.pair_tests(pairs), p.hedge_stability(pairs, 8, 30), least_n=60)
+    ratios = p.variance_ratio(p.spread(pairs, p.static_hedge(pairs)))
+    return sc.validated(p.pair_metrics(pairs), s.pair_tests(pairs), p.hedge_stability(pairs, 8, 30), least_n=60, ratios=ratios)
 
 
 @register(f"""{PAIRS}, dist AS (SELECT a.pair_id, a.dt AS i, b.dt AS j, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM px a JOIN px b ON a.pair_id = b.pair_id),

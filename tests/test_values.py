@@ -177,3 +177,16 @@ def test_walk_forward_counts_the_episodes_of_the_test_parts(spark):
     done = [x for x in events if x[1] != "OPEN"]
     row = got[(got.pair_id == pair) & (got.fold == fold)].iloc[0]
     assert row.n_trades == len(done) and row.pnl_z == pytest.approx(sum(x[3] for x in done), abs=1e-6)
+
+
+def test_the_verdict_follows_its_tests(spark):
+    ratios = {r.pair_id: r.vr for r in run(spark, "i07_variance_ratio").collect()}
+    rows = run(spark, "i10_validation_verdict").collect()
+    assert {r.pair_id for r in rows} == ratios.keys()
+    for r in rows:
+        of = {t.name: t for t in r.tests}
+        vr = ratios[r.pair_id]
+        assert not of["variance_ratio"].is_hard and of["variance_ratio"].passed == (vr is None or vr < 1)
+        assert vr is None or abs(of["variance_ratio"].value - vr) < 1e-5
+        hard, soft = (any(not t.passed for t in r.tests if t.is_hard == h) for h in (True, False))
+        assert r.verdict == ("FAIL" if hard else "WARN" if soft else "PASS")
